@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, sentence_pieces, simhash, token_counts, topk_search
+from . import secret_scan, sentence_pieces, simhash, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def fold(key: str, parts: int) -> Column:
+    """crc32 of the key as text, modulo parts."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside fold 1 of 3."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.fit(docs, labels, fold("doc_id", 3) != 1))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_top_k_search": op2_top_k_search,
@@ -66,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": op4_simhash,
         "op7_token_counts": op7_token_counts,
         "op9_secret_scan": op9_secret_scan,
+        "op10_toxicity": op10_toxicity,
     }
 
 
