@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, sentence_pieces, simhash, token_counts, topk_search, toxicity
+from . import line_dedup, secret_scan, sentence_pieces, simhash, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and which of them repeat an earlier line up to one edit."""
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
+
+
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all vectors; 5 best each."""
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -74,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_top_k_search": op2_top_k_search,
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_simhash": op4_simhash,
