@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, secret_scan, sentence_pieces, simhash, token_counts, topk_search, toxicity
+from . import decontamination, line_dedup, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with an earlier one."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, verbatim or with other values."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op2_top_k_search": op2_top_k_search,
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_simhash": op4_simhash,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_token_counts": op7_token_counts,
         "op9_secret_scan": op9_secret_scan,
