@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
+from . import decontamination, line_dedup, lm_scoring, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(key: str, parts: int) -> Column:
+    """crc32 of the key as text, modulo parts."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and which of them repeat an earlier line up to one edit."""
     out = line_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -70,16 +75,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learned from those outside fold 2 of 7."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and added secret spans of every document."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-def fold(key: str, parts: int) -> Column:
-    """crc32 of the key as text, modulo parts."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside fold 1 of 3."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -97,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_token_counts": op7_token_counts,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_secret_scan": op9_secret_scan,
         "op10_toxicity": op10_toxicity,
     }
