@@ -30,26 +30,32 @@ from .components import components
 SAMPLE = 8192
 #: Rows a shard is planned for; a leaf is compared exhaustively.
 SHARD_ROWS, LEAF = 8192, 96
+#: For similar_documents: bands of least shingle values, and how far fingerprints may lie apart before shingles are compared.
+BANDS, BAND_ROWS, WIDE = 12, 3, 22
+#: Up to so many document ids (8 bytes each) are broadcast to fetch texts; beyond, they are joined by a shuffle.
+BROADCAST_DOCS = 1_000_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _words = re.compile(WORD).findall
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits; a bit is set if over half of the shingles' XXH64 (seed 42) have it set."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; fewer words than a shingle make one."""
     words = _words((text or "").translate(ASCII_LOWER))
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros((8, 8), np.int64)
-    for low in range(0, n, 65536):
-        high = min(n, low + 65536)
-        part = words[low : high + width - 1]
-        shingles = map(" ".join, zip(*(part[i:] for i in range(width)))) if len(words) >= width else [" ".join(words)]  # noqa: B905
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, high - low)
-        raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)
-        for j in range(8):
-            ones[j] += np.bincount(raw[:, j], minlength=256) @ _BITS
-    return int(sum(1 << i for i, v in enumerate(ones.ravel()) if 2 * v > n))
+        return np.zeros(0, np.uint64)
+    shingles = map(" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [" ".join(words)]  # noqa: B905
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits; a bit is set if over half of the hashes have it set."""
+    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.stack([np.bincount(raw[:, j], minlength=256) @ _BITS for j in range(8)])
+    return int(sum(1 << i for i, v in enumerate(ones.ravel().tolist()) if 2 * v > len(h)))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,6 +198,68 @@ def near_components(prints: DataFrame, radius: int = 3, id_col: str = "doc_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def _prints_and_bands(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id_col, fp and bands: hashes of BAND_ROWS least values each of the shingles."""
+    kind = df.schema[id_col].dataType.simpleString()
+    factor = np.random.default_rng(5).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+    def rows(source):
+        for key, text in source:
+            h = shingle_hashes(text, width)
+            fp = majority(h)
+            bands = []
+            if len(h):
+                least = np.full(len(factor), ~np.uint64(0))
+                for low in range(0, len(h), 4096):
+                    x = (h[low : low + 4096, None] ^ (h[low : low + 4096, None] >> np.uint64(31))) * factor
+                    least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+                bands = [xxhash.xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(factor), BAND_ROWS)]
+            yield key, fp - (fp >> 63 << 64), [b - (b >> 63 << 64) for b in bands]
+
+    return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, fp bigint, bands array<bigint>", rows)
+
+
+def _similar(df: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of documents whose shingle sets overlap by the similarity or more; the texts are read for these documents only."""
+    wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+    small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "doc")
+
+    def sets(source):
+        for doc, text in source:
+            yield doc, np.unique(shingle_hashes(text, width)).view(np.int64)
+
+    def compared(source):
+        for a, b, x, y in source:
+            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both):
+                yield a, b
+
+    hashed = written(map_rows(texts, ["doc", "text"], "doc bigint, h array<bigint>", sets, flush=100).dropDuplicates(["doc"]))
+    both = pairs.join(hashed.select(F.col("doc").alias("a"), F.col("h").alias("x")), "a").join(hashed.select(F.col("doc").alias("b"), F.col("h").alias("y")), "b")
+    return map_rows(both, ["a", "b", "x", "y"], "a bigint, b bigint", compared)
+
+
+def similar_documents(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and component_id of every row: linked within radius bits, or by a shingle similarity of at least that much.
+
+    Copies of that similarity often differ in ten bits or so, a radius at which no tree over random fingerprints prunes.
+    So documents that share a band of least shingle values are linked to the smallest and the largest document of
+    their band, if their fingerprints lie within WIDE bits, and each such link is verified on the whole shingle sets.
+    """
+    prints = written(_prints_and_bands(df.where(F.col(id_col).isNotNull()), width, id_col, text_col))
+    close = written(near_components(prints.select(id_col, "fp"), radius, id_col))
+    one = prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).cast("long").alias("doc"), "bands")).alias("m")).select("fp", "m.doc", F.explode("m.bands").alias("band"))
+    ends = one.groupBy("band").agg(F.min(F.struct("doc", "fp")).alias("low"), F.max(F.struct("doc", "fp")).alias("high")).where("low.doc < high.doc")
+    met = one.join(ends, "band").select("doc", "fp", F.explode(F.array("low", "high")).alias("end")).where("doc <> end.doc")
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("end.fp"))) <= WIDE)
+    pairs = written(met.select(F.greatest("doc", "end.doc").alias("a"), F.least("doc", "end.doc").alias("b")).distinct())
+    edges = close.select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")).where("a <> b").union(_similar(df, pairs, width, similarity, id_col, text_col))
+    found = components(edges)
+    return close.join(found, close[id_col] == found["node"], "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp and component_id of every row of df."""
     return near_components(fingerprints(df, width, id_col, text_col), radius, id_col)
