@@ -147,7 +147,7 @@ class Packed:
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word and c of every token of the texts; the end mark is "\\n"."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = docs.select(F.explode(F.split(F.concat(text, F.lit(" \n")), r"[\x20\x09\x0B-\x0D]+|\n(?=.)", -1)).alias("word"))
+    words = docs.select(F.explode(F.concat(F.split(text, r"[\x20\x09-\x0D]+", -1), F.array(F.lit("\n")))).alias("word"))
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 

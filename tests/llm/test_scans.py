@@ -87,6 +87,12 @@ def test_lm_base_and_score(spark, tmp_path):
     assert sum(r["score"] for r in held) > 1.15 * sum(r["base_score"] for r in held)
 
 
+def test_vocabulary_at_blank_lines_and_crlf(spark):
+    texts = {1: "a\n\nb", 2: "a \n\nb\n", 3: "a\r\n\r\nb\r\n", 4: "\n\na\u0085\n\u2028b", 5: "\n", 6: None, 7: "A\x0b\x0cb"}
+    want = Counter(w for t in texts.values() for w in tokens(t))
+    assert {r["word"]: r["c"] for r in lm.vocabulary(frame(spark, texts)).collect()} == want
+
+
 def test_symbols_are_a_proper_code():
     codes = lm.Codes.of(np.arange(257))
     assert math.isclose(sum(2.0 ** -len(b) for b in codes.bits), 1.0)
