@@ -3,16 +3,18 @@
 Symbols. A text is its lower-cased words, each spelled in UTF-8 bytes and a closing mark, then one end mark. Each symbol is
 a path of bits in a Huffman tree over the training counts of all 257 symbols, so a text is a sequence of bits.
 
-Predictors. Hashed contexts (none, the last 1, 2, 3 and 5 symbols of the word, its whole prefix) predict each bit from
-counts of the training bits in tables of SLOTS slots. The counts are sums over the training vocabulary, a Spark
-aggregate of every training token: it grows with the corpus, while the tables that tasks receive have a fixed size.
-
-Mixing. The predictions are stretched and mixed by weights that a gate selects (how often the whole prefix was seen).
-Each partition of the vocabulary trains the weights online on its words, every word predicted from counts without
-itself; the partitions' weights are averaged by their bits. In a text the weights are refined further, block by block,
-each block scored before it is learned from. A last gate mixes each word's spelled probability with its share of the
-training tokens; the gate's odds are those of unseen words (Good and Turing's estimate). The score is the sum of log10
-of these probabilities over all words, so it is a proper probability of any text.
+Predictors. Hashed contexts predict each bit from counts of the training bits in tables of slots: within the word none,
+the last 1, 2, 3 and 4 symbols and the whole prefix; across words the prefix with the word before, with the two words
+before, and with the last TAIL bytes of the word before. Every context is counted over every token of the training texts
+in their order. The tables grow with the training tokens up to 2^MAX_BITS slots; beyond, contexts share slots.
+
+Mixing. The predictions are stretched and mixed by weights that a gate selects (how often the whole prefix was seen, and
+how often after the word before). Each partition trains the weights online on its training texts, every word predicted
+from counts without itself; the partitions' weights are averaged by their bits. In a text the weights are refined
+further, block by block, each block scored before it is learned from. At last each word's spelled probability is mixed
+with its share of the training tokens, in the one of the SHARES that predicts the training texts best, again every word
+without itself. The score is the sum of log10 of these probabilities over all words, so it is a proper probability of
+any text.
 
 Defined results: a null or empty text is the end mark alone; repeated rows get equal scores; an empty training set
 gives even predictions and N = V = 0; texts and words are of any length; extra columns are ignored.
@@ -32,14 +34,32 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WORD, ascii_lower, map_rows, written
 
-SLOTS, ORDERS, GATES, BLOCK_TOKENS, RATE = 1 << 21, (0, 1, 2, 3, 4, 99), 8, 64, 0.02
-#: The deep contexts (DEEP of the last ones) are counted over at most so many of the most frequent words, else rare words would fill their tables.
-DEEP, DEEP_WORDS = 1, 1 << 17
+ORDERS, GATES, BLOCK_TOKENS, RATE = (0, 1, 2, 3, 4, 99), 8, 64, 0.02
+#: Contexts across words: the word before, the two before, and its last TAIL bytes; LEVELS of the gate by the first.
+CROSS, TAIL, LEVELS = 3, 3, 4
+CONTEXTS = len(ORDERS) + CROSS
+#: Slots of a table: 2 to the power of MIN_BITS to MAX_BITS, by the training tokens. Counts are sent in STRIP each.
+MIN_BITS, MAX_BITS, STRIP = 16, 22, 1 << 16
+#: Counts in tasks are 16-bit logarithms, STEPS to a doubling: exact where small, else within 0.02 %.
+STEPS = 2048
+#: Tokens whose words are spelled at a time, and tokens of a training step.
+SPELLED_TOKENS, STEP_TOKENS = 1 << 17, 1024
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
 #: At most so many of the most frequent words (a whole count threshold) are sent to tasks; the counts of the rest are joined.
 FREQUENT = 1 << 18
 SPACE, END = 0x20, 256
 _words = re.compile(WORD).findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = 2.0 ** (np.arange(1 << 16) / STEPS) - 1
+_LOGS = np.log(_COUNTS + 0.2).astype(np.float32)
+
+
+def coded(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(n + 1.0) * STEPS), (1 << 16) - 1).astype(np.uint16)
+
+
+_LESS = coded(np.maximum(_COUNTS - 1, 0))
+_LEVEL = np.searchsorted([0.5, 2.5, 15.5], _COUNTS).astype(np.int64)
 
 
 @dataclass
@@ -73,14 +93,18 @@ class Codes:
 class Speller:
     """Words to bits and their context slots."""
 
-    def __init__(self, codes: Codes):
-        self.codes = codes
+    def __init__(self, codes: Codes, bits: int = 21):
+        self.codes, self.shift = codes, np.uint64(64 - bits)
         self.length = np.array([len(b) for b in codes.bits])
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.all_nodes, self.all_bits = np.concatenate(codes.nodes), np.concatenate(codes.bits)
 
     def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For "\\n" (the end mark) or words: bits, slots (bits x contexts), and the number of bits of each word."""
+        """For "\\n" (the end mark) or words: bits, slots (bits x contexts within the word), and the number of bits of each word."""
+        return self.prefixed(words)[:3]
+
+    def prefixed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What spell gives, and per bit a hash of the prefix and the node, for cross()."""
         raw = [w.encode("utf-8", "surrogatepass") + b" " if w != "\n" else b"\n" for w in words]
         symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         size = np.array([len(r) for r in raw])
@@ -110,38 +134,59 @@ class Speller:
         for k, h in enumerate(contexts):
             x = (np.repeat(h, reps) ^ node) * _MIX
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            slots[:, k] = (x >> np.uint64(43)).astype(np.int64)
-        return self.all_bits[at], slots, np.add.reduceat(reps, np.cumsum(size) - size) if len(size) else size
+            slots[:, k] = (x >> self.shift).astype(np.int64)
+        return self.all_bits[at], slots, np.add.reduceat(reps, np.cumsum(size) - size) if len(size) else size, x
 
+    def cross(self, prefix: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Slots of a context across words, of bits with these prefixes after these words."""
+        x = (prefix ^ before) * _MIX
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> self.shift).astype(np.int64)
 
-def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log odds of a one, from counts of zeros and ones."""
-    return np.log((n1 + 0.2) / (n0 + 0.2)).astype(np.float32)
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+def tail_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")[-TAIL:], 7)
+
+
+def befores(ids: np.ndarray, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Words x CROSS: hashes of what lies before each word of a text, given as word numbers."""
+    one, two, tail = (np.zeros(len(ids), np.uint64) for _ in range(3))
+    one[1:], two[2:], tail[1:] = hashes[ids[:-1]], hashes[ids[:-2]], tails[ids[:-1]]
+    one, two, tail = (x * f for x, f in ((one, np.uint64(0xC2B2AE3D27D4EB4F)), (two, np.uint64(0x9FB21C651E98DF25)), (tail, np.uint64(0xD6E8FEB86659FD93))))
+    return np.stack([one + np.uint64(0xA24BAED4963EE407), (one ^ (two + np.uint64(1))) * np.uint64(0x9FB21C651E98DF25), tail + np.uint64(0x165667B19E3779F9)], 1)
 
 
 def gate(n: np.ndarray) -> np.ndarray:
-    """The weight set, by how often the whole prefix met this bit."""
+    """The first part of the weight set, by how often the whole prefix met this bit."""
     return np.minimum(np.log2(np.maximum(n, 0) + 1), GATES - 1).astype(np.int64)
 
 
 @dataclass
 class Model:
     codes: Codes
-    counts: np.ndarray  # contexts x 2 x SLOTS
-    weights: np.ndarray  # GATES x contexts
+    counts: np.ndarray  # contexts x slots x 2, coded
+    weights: np.ndarray  # GATES * LEVELS x contexts
 
 
 class Packed:
-    """The count tables, sent to tasks compressed: slots without counts, the most of them in small inputs, take no room."""
+    """The coded count tables as compressed strips, unpacked in the tasks: the driver never holds them whole."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, bits: int, strips: dict[int, bytes]):
+        self.bits, self.strips = bits, strips
 
     def __getstate__(self):
-        return self.counts.shape, zlib.compress(np.ascontiguousarray(self.counts, np.float32).data, 1)
+        return self.bits, self.strips
 
     def __setstate__(self, state):
-        self.counts = np.frombuffer(zlib.decompress(state[1]), np.float32).reshape(state[0])
+        self.bits, strips = state
+        flat = np.zeros((CONTEXTS * (2 << self.bits) // STRIP, STRIP), np.uint16)
+        for i in list(strips):
+            flat[i] = np.frombuffer(zlib.decompress(strips.pop(i)), np.uint16)
+        self.counts = flat.reshape(CONTEXTS, 1 << self.bits, 2)
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -151,51 +196,69 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
-def _count_tables(vocab: DataFrame, codes: Codes, least: int) -> np.ndarray:
-    """Bit counts per context slot, summed over the vocabulary. At most contexts x 2 x SLOTS numbers come back, in rows of packed stretches."""
-    strip = 1 << 14
+def _batches(source, size: int = SPELLED_TOKENS):
+    """The rows of some texts, each with its words in place of the text, size tokens or more at a time; the distinct words, and each text as numbers of them."""
+    held, tokens = [], 0
+    number: dict[str, int] = {}
+    for *row, text in source:
+        words = [*_words(text.translate(ASCII_LOWER)), "\n"]
+        held.append((row, len(text.encode("utf-8", "surrogatepass")), np.array([number.setdefault(w, len(number)) for w in words])))
+        tokens += len(words)
+        if tokens >= size:
+            yield held, list(number)
+            held, tokens, number = [], 0, {}
+    if held:
+        yield held, list(number)
+
+
+def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([word_hash(w) for w in words], np.uint64), np.array([tail_hash(w) for w in words], np.uint64)
+
+
+def _bits_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For words by number: where their bits are in the spelled words, and the place in ids of each bit."""
+    n = size[ids]
+    return np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(np.arange(len(ids)), n)
+
+
+def table_bits(tokens: int) -> int:
+    return min(max(MIN_BITS, int(tokens * 4).bit_length()), MAX_BITS)
+
+
+def _count_tables(texts: DataFrame, codes: Codes, bits: int) -> Packed:
+    """Bit counts per context slot, summed over all tokens of texts(text). One task a core sums its own tables first."""
 
     def rows(source):
-        speller, out = Speller(codes), np.zeros((len(ORDERS), 2, SLOTS), np.float32)
-        for words, c in _chunks(source):
-            bits, slots, per_word = speller.spell(words)
-            weight = np.repeat(np.array(c, np.float32), per_word)
+        speller, out = Speller(codes, bits), np.zeros((CONTEXTS, 2 << bits), np.uint32)
+        for held, words in _batches(source):
+            of_word, slots, per_word, prefix = speller.prefixed(words)
+            start = np.cumsum(per_word) - per_word
+            flat = np.concatenate([ids for *_, ids in held])
+            times = np.repeat(np.bincount(flat, minlength=len(words)).astype(np.uint32), per_word)
             for k in range(len(ORDERS)):
-                own = weight if k < len(ORDERS) - DEEP else weight * (weight >= least)
-                for b in (0, 1):
-                    on = (bits == b) & (own > 0)
-                    np.add.at(out[k, b], slots[on, k], own[on])
-        flat = out.reshape(-1, strip)
+                np.add.at(out[k], slots[:, k] * 2 + of_word, times)
+            before = np.concatenate([befores(ids, *hashes) for hashes in [_hashes(words)] for *_, ids in held])
+            for low in range(0, len(flat), 1 << 15):
+                at, token = _bits_of(flat[low : low + (1 << 15)], start, per_word)
+                mine, one = prefix[at], of_word[at]
+                for j in range(CROSS):
+                    np.add.at(out[len(ORDERS) + j], speller.cross(mine, before[low : low + (1 << 15), j][token]) * 2 + one, np.uint32(1))
+        flat = out.reshape(-1, STRIP)
         for i in np.flatnonzero(flat.any(axis=1)).tolist():
-            at = np.flatnonzero(flat[i])
-            yield i, at.astype(np.int32).tolist(), flat[i][at].tolist()
+            yield i, zlib.compress(flat[i].data, 1)
 
     def add(pdf):
         import pandas as pd
 
-        total = np.zeros(strip)
-        for at, v in zip(pdf["at"], pdf["v"], strict=True):
-            total[np.asarray(at, np.int64)] += v
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "v": [total.astype("<f4").tobytes()]})
+        total = np.zeros(STRIP, np.int64)
+        for v in pdf["v"]:
+            total += np.frombuffer(zlib.decompress(v), np.uint32)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "v": [zlib.compress(coded(total).data, 1)]})
 
-    parts = map_rows(vocab, ["word", "c"], "part int, at array<int>, v array<double>", rows, flush=16)
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    parts = map_rows(texts.coalesce(cores), ["text"], "part int, v binary", rows, flush=16)
     summed = parts.groupBy("part").applyInPandas(add, "part int, v binary")
-    out = np.zeros((len(ORDERS) * 2 * SLOTS // strip, strip), np.float32)
-    for r in summed.toLocalIterator():
-        out[r["part"]] = np.frombuffer(r["v"], "<f4")
-    return out.reshape(len(ORDERS), 2, SLOTS)
-
-
-def _chunks(source, size: int = 4096):
-    words, c = [], []
-    for w, n in source:
-        words.append(w)
-        c.append(n)
-        if len(words) == size:
-            yield words, c
-            words, c = [], []
-    if words:
-        yield words, c
+    return Packed(bits, {r["part"]: bytes(r["v"]) for r in summed.toLocalIterator()})
 
 
 def _loss_and_error(s: np.ndarray, w: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,33 +268,67 @@ def _loss_and_error(s: np.ndarray, w: np.ndarray, bits: np.ndarray) -> tuple[np.
     return -np.logaddexp(0, -z * sign), bits - 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _train_weights(vocab: DataFrame, codes: Codes, tables, start: np.ndarray) -> np.ndarray:
-    """Online training over each partition's words, each predicted without itself; the average over partitions, weighted by bits."""
+def _train_weights(texts: DataFrame, codes: Codes, tables, start: np.ndarray, frequent, n: int) -> tuple[np.ndarray, float]:
+    """Online training over each partition's texts, each word predicted without itself: the average over partitions, weighted by bits, and the best of SHARES."""
 
     def rows(source):
-        speller, counts, w, seen = Speller(codes), tables.value.counts, start.copy(), 0.0
-        for words, c in _chunks(source, 512):
-            bits, slots, per_word = speller.spell(words)
-            own = np.repeat(np.array(c, np.float32), per_word)
-            n0 = np.stack([counts[k, 0][slots[:, k]] for k in range(len(ORDERS))], 1)
-            n1 = np.stack([counts[k, 1][slots[:, k]] for k in range(len(ORDERS))], 1)
-            one = bits[:, None] == 1
-            n1, n0 = np.maximum(n1 - one, 0), np.maximum(n0 - ~one, 0)  # one occurrence less
-            s, g = stretch(n0, n1), gate((n0 + n1)[:, -1])
-            _, err = _loss_and_error(s, w[g], bits)
-            pq, total = np.abs(err) * (1 - np.abs(err)), np.abs(s).sum(1)
-            for k in range(len(ORDERS)):  # a step bounded by the curvature
-                w[:, k] += 0.3 * np.bincount(g, own * err * s[:, k], GATES) / np.maximum(np.bincount(g, own * pq * np.abs(s[:, k]) * total, GATES), 50)
-            seen += float(own.sum())
-        yield seen, [float(x) for x in w.ravel()]
-
-    got = map_rows(vocab, ["word", "c"], "seen double, w array<double>", rows)
+        counts, w, seen, logs = tables.value.counts, start.copy(), 0.0, np.zeros(len(SHARES))
+        speller, known, shares = Speller(codes, tables.value.bits), frequent.value, np.array(SHARES)
+        for held, words in _batches(source):
+            bits, slots, per_word, prefix = speller.prefixed(words)
+            first = np.cumsum(per_word) - per_word
+            s, g, _ = _within(counts, bits, slots, True)
+            flat = np.concatenate([ids for *_, ids in held])
+            before = np.concatenate([befores(ids, *hashes) for hashes in [_hashes(words)] for *_, ids in held])
+            other = np.maximum(np.array([known.get(x, 0) for x in words], np.float64) - 1, 0) / max(n - 1, 1)
+            for low in range(0, len(flat), STEP_TOKENS):
+                ids = flat[low : low + STEP_TOKENS]
+                at, token = _bits_of(ids, first, per_word)
+                one = bits[at]
+                sb, cell = _across(speller, counts, s[at], g[at], prefix[at], before[low : low + STEP_TOKENS], token, one)
+                p, err = _loss_and_error(sb, w[cell], one)
+                pq, total = np.abs(err) * (1 - np.abs(err)), np.abs(sb).sum(1)
+                for k in range(CONTEXTS):  # a step bounded by the curvature
+                    w[:, k] += 0.3 * np.bincount(cell, err * sb[:, k], len(w)) / np.maximum(np.bincount(cell, pq * np.abs(sb[:, k]) * total, len(w)), 50)
+                seen += len(at)
+                spelled = np.exp(np.maximum(np.bincount(token, p, len(ids)), -600))
+                logs += np.log(shares * spelled[:, None] + (1 - shares) * other[ids][:, None]).sum(0)
+        yield seen, w.ravel().tolist(), logs.tolist()
+
+    got = written(map_rows(texts, ["text"], "seen double, w array<double>, logs array<double>", rows))
     total = got.select(F.posexplode("w").alias("i", "x"), "seen").groupBy("i").agg(F.try_divide(F.sum(F.col("x") * F.col("seen")), F.sum("seen")).alias("x")).collect()
     out = start.copy().ravel()
     for r in total:
         if r["x"] is not None:
             out[r["i"]] = r["x"]
-    return out.reshape(start.shape)
+    best = got.select(F.posexplode("logs").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy(F.desc("x"), "i").first()
+    return out.reshape(start.shape), SHARES[best["i"]] if best else 0.5
+
+
+def _within(counts: np.ndarray, bits: np.ndarray, slots: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (log odds of a one) of the contexts within the word, room for those across, and the gates; less: of counts without one occurrence of the bits."""
+    s, last = np.zeros((len(bits), CONTEXTS), np.float32), np.zeros(len(bits))
+    for k in range(len(ORDERS)):
+        pair = counts[k][slots[:, k]]
+        n0, n1 = pair[:, 0], pair[:, 1]
+        if less:
+            n0, n1 = np.where(bits == 0, _LESS[n0], n0), np.where(bits == 1, _LESS[n1], n1)
+        s[:, k] = _LOGS[n1] - _LOGS[n0]
+        last = _COUNTS[n0] + _COUNTS[n1]
+    return s, gate(last) * LEVELS, last
+
+
+def _across(speller: Speller, counts: np.ndarray, s: np.ndarray, g: np.ndarray, prefix: np.ndarray, before: np.ndarray, token: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """s with the stretches across words filled in, and the weight sets; less: the bits of which one occurrence is left out."""
+    for j in range(CROSS):
+        pair = counts[len(ORDERS) + j][speller.cross(prefix, before[:, j][token])]
+        n0, n1 = pair[:, 0], pair[:, 1]
+        if less is not None:
+            n0, n1 = np.where(less == 0, _LESS[n0], n0), np.where(less == 1, _LESS[n1], n1)
+        s[:, len(ORDERS) + j] = _LOGS[n1] - _LOGS[n0]
+        if not j:
+            g = g + _LEVEL[np.maximum(n0, n1)]
+    return s, g
 
 
 def least_counts(vocab: DataFrame, *limits: int) -> list[int]:
@@ -243,8 +340,8 @@ def least_counts(vocab: DataFrame, *limits: int) -> list[int]:
     return [least if least is not None else 1 << 62 for least in out]
 
 
-def fit(vocab: DataFrame, deep_least: int):
-    """The model of a vocabulary (word, c): the codes, the count tables as a broadcast of Packed, and the weights."""
+def fit(vocab: DataFrame, texts: DataFrame, frequent, n: int):
+    """The model of texts(text) with n tokens and their vocabulary (word, c): the codes, the count tables as a broadcast of Packed, the weights, and the share of spelled probabilities."""
 
     def spelled(source):
         n = np.zeros(257, np.int64)
@@ -262,36 +359,24 @@ def fit(vocab: DataFrame, deep_least: int):
     for r in map_rows(vocab, ["word", "c"], "s int, n bigint", spelled).groupBy("s").agg(F.sum("n").alias("n")).collect():
         counts[r["s"]] = r["n"]
     codes = Codes.of(counts)
-    tables = _count_tables(vocab, codes, deep_least)
-    shared = vocab.sparkSession.sparkContext.broadcast(Packed(tables))
-    start = np.tile(np.array([0.1] * (len(ORDERS) - 1) + [0.5], np.float64), (GATES, 1))
-    weights = start
-    for _ in range(2):
-        weights = _train_weights(vocab, codes, shared, weights)
-    return codes, shared, weights
+    shared = vocab.sparkSession.sparkContext.broadcast(_count_tables(texts, codes, table_bits(n)))
+    start = np.tile(np.array([0.1] * (len(ORDERS) - 1) + [0.3] + [0.1] * CROSS, np.float64), (GATES * LEVELS, 1))
+    weights, share = _train_weights(texts, codes, shared, start, frequent, n)
+    return codes, shared, weights, share
 
 
 class Scorer:
     """Scores batches of texts; the words of a batch are spelled once."""
 
     def __init__(self, model: Model):
-        self.model, self.speller = model, Speller(model.codes)
-
-    def table(self, words: list[str]):
-        """bits, stretches, gates and the ends of each word's bits."""
-        bits, slots, per_word = self.speller.spell(words)
-        counts = self.model.counts
-        s, last = np.empty(slots.shape, np.float32), None
-        for k in range(len(ORDERS)):
-            n0, n1 = counts[k, 0][slots[:, k]], counts[k, 1][slots[:, k]]
-            s[:, k] = stretch(n0, n1)
-            last = n0 + n1
-        ends = np.cumsum(per_word)
-        return bits, s, gate(last), ends - per_word, per_word
-
-    def scores(self, texts: list[list[int]], words: list[str]) -> list[np.ndarray]:
+        self.model, self.speller = model, Speller(model.codes, model.counts.shape[1].bit_length() - 1)
+
+    def scores(self, texts: list[np.ndarray], words: list[str]) -> list[np.ndarray]:
         """Per text the log probabilities of its words, given as word numbers; all texts advance together, block by block."""
-        bits, s, g, start, size = self.table(words)
+        bits, slots, size, prefix = self.speller.prefixed(words)
+        start, counts, hashes = np.cumsum(size) - size, self.model.counts, _hashes(words)
+        s, g, _ = _within(counts, bits, slots, False)
+        sets = GATES * LEVELS
         out = [np.zeros(len(t)) for t in texts]
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         weights = np.tile(self.model.weights.astype(np.float32), (len(texts), 1, 1))
@@ -301,21 +386,22 @@ class Scorer:
             for some in range(0, len(live), 256):
                 part = live[some : some + 256]
                 blocks = [texts[i][low : low + BLOCK_TOKENS] for i in part]
-                flat = np.array([w for b in blocks for w in b])
-                n = size[flat]
-                at = np.repeat(start[flat] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                lane = np.repeat(np.repeat(np.arange(len(part)), [len(b) for b in blocks]), n)
-                ids = np.array(part)
-                sb, cell = s[at], lane * GATES + g[at]
+                flat = np.concatenate(blocks)
+                at, token = _bits_of(flat, start, size)
+                lane = np.repeat(np.arange(len(part)), [len(b) for b in blocks])[token]
+                ids, from_ = np.array(part), max(low - 2, 0)
+                before = np.concatenate([befores(texts[i][from_ : low + BLOCK_TOKENS], *hashes)[low - from_ :] for i in part])
+                sb, cell = _across(self.speller, counts, s[at], g[at], prefix[at], before, token, None)
+                cell = lane * sets + cell
                 own = weights[ids].reshape(-1, k)
                 p, err = _loss_and_error(sb, own[cell], bits[at])
-                done = np.bincount(np.repeat(np.arange(len(flat)), n), p, len(flat))
+                done = np.bincount(token, p, len(flat))
                 for i, b, end in zip(part, blocks, np.cumsum([len(b) for b in blocks]).tolist(), strict=True):
                     out[i][low : low + len(b)] = done[end - len(b) : end]
                 if low + BLOCK_TOKENS < len(texts[part[0]]):
                     for j in range(k):
                         own[:, j] += RATE * np.bincount(cell, err * sb[:, j], len(own)) / np.maximum(np.sqrt(np.bincount(cell, minlength=len(own))), 1)
-                    weights[ids] = own.reshape(len(part), GATES, k)
+                    weights[ids] = own.reshape(len(part), sets, k)
         return out
 
 
@@ -325,47 +411,35 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~is_training).alias("held_out"))
     vocab = written(vocabulary(docs.where(is_training), text_col))
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    deep, least = least_counts(vocab, DEEP_WORDS, FREQUENT)
+    (least,) = least_counts(vocab, FREQUENT)
     frequent = {r["word"]: r["c"] for r in vocab.where(F.col("c") >= least).collect()}  # at most FREQUENT words
-    unseen = (vocab.where("c = 1").count() + 1) / (n + 2)
-    codes, tables, weights = fit(vocab, deep)
     shared = spark.sparkContext.broadcast(frequent)
+    codes, tables, weights, share = fit(vocab, rows.where("NOT held_out").select("text"), shared, n)
 
     def run(source):
         frequent = shared.value
         scorer = Scorer(Model(codes, tables.value.counts, weights))
-        held, tokens = [], 0
-        for row, key, text, out in source:
-            words = [*_words(text.translate(ASCII_LOWER)), "\n"]
-            held.append((row, key, out, words, len(text.encode("utf-8", "surrogatepass"))))
-            tokens += len(words)
-            if tokens > 1 << 18:
-                yield from scored(scorer, frequent, held)
-                held, tokens = [], 0
-        if held:
-            yield from scored(scorer, frequent, held)
-
-    def scored(scorer, frequent, held):
-        number: dict[str, int] = {}
-        texts = [[number.setdefault(w, len(number)) for w in words] for _, _, _, words, _ in held]
-        names = list(number)
+        for held, names in _batches(source):
+            yield from scored(scorer, frequent, held, names)
+
+    def scored(scorer, frequent, held, names):
         known = np.array([frequent.get(w, 0) for w in names], np.float64)
         logs = np.log10(known + 1)
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in names], np.uint64).view(np.int64)
-        for (row, key, out, words, n_bytes), ids, p in zip(held, texts, scorer.scores(texts, names), strict=True):
-            ids, spelled = np.array(ids), p / np.log(10)
+        hashes = np.array([word_hash(w) for w in names], np.uint64).view(np.int64)
+        for ((row, key, out), n_bytes, ids), p in zip(held, scorer.scores([ids for *_, ids in held], names), strict=True):
+            spelled = p / np.log(10)
             c = known[ids]
-            mixed = np.log10((1 - unseen) * c / max(n, 1) + unseen * 10.0 ** np.maximum(spelled, -290)) if n else spelled
-            mixed = np.where(c > 0, mixed, spelled + (np.log10(unseen) if n else 0))
+            mixed = np.log10((1 - share) * c / max(n, 1) + share * 10.0 ** np.maximum(spelled, -290)) if n else spelled
+            mixed = np.where(c > 0, mixed, spelled + (np.log10(share) if n else 0))
             rare = np.flatnonzero(c == 0)
-            yield row, key, out, len(words), int((c > 0).sum()), float(logs[ids].sum()), float(mixed.sum()), n_bytes, hashes[ids[rare]].tolist(), spelled[rare].tolist()
+            yield row, key, out, len(ids), int((c > 0).sum()), float(logs[ids].sum()), float(mixed.sum()), n_bytes, hashes[ids[rare]].tolist(), spelled[rare].tolist()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"row bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, rare array<bigint>, spelled array<double>"
-    each = written(map_rows(rows, ["row", id_col, "text", "held_out"], schema, run, flush=200))
+    each = written(map_rows(rows, ["row", id_col, "held_out", "text"], schema, run, flush=200))
     rare = each.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.spelled").alias("spelled"))
     counts = vocab.where(F.col("c") < least).select(F.xxhash64("word").alias("h"), "c")
-    gain = F.log10(F.lit(1 - unseen) * F.col("c") / F.lit(float(max(n, 1))) + F.lit(unseen) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-290.0)))) - F.log10(F.lit(unseen)) - F.col("spelled")
+    gain = F.log10(F.lit(1 - share) * F.col("c") / F.lit(float(max(n, 1))) + F.lit(share) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-290.0)))) - F.log10(F.lit(share)) - F.col("spelled")
     found = rare.join(counts, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"), F.sum(gain).alias("gain"))
     out = each.drop("rare", "spelled").join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
     none = float(np.log10(n + v + 1))

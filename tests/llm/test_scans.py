@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import decontamination as dc
 from sightline.llm import lm_scoring as lm
@@ -103,6 +104,33 @@ def test_symbols_are_a_proper_code():
     assert (again[1] == slots[-size[2] :]).all() and (again[0] == bits[-size[2] :]).all()  # contexts stay within a word
 
 
+def test_lm_learns_word_order(spark):
+    r = np.random.default_rng(3)
+
+    def chained(n):
+        out = [int(r.integers(60))]
+        while len(out) < n:
+            out.append((out[-1] * 7 + int(r.integers(2))) % 60)
+        return [f"w{x * x % 61}x{x}" for x in out]
+
+    texts = {i: " ".join(chained(120)) for i in range(150)}
+    for i in range(150, 180):
+        some = chained(120)
+        texts |= {i: " ".join(some), i + 50: " ".join(r.permutation(some))}
+    rows = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, texts), F.col("doc_id") < 150).collect()}
+    ordered, mixed = (sum(rows[i + add] for i in range(150, 180)) for add in (0, 50))
+    assert ordered > 0.6 * mixed
+
+
+def test_every_context_counts_every_token(spark):
+    texts = frame(spark, {1: "a b a c " + words(1, 300), 2: "", 3: words(2, 100)}).select("text")
+    codes = lm.Codes.of(np.arange(257))
+    packed = lm._count_tables(texts, codes, 18)
+    packed.__setstate__((packed.bits, dict(packed.strips)))
+    total = sum(len(lm.Speller(codes).spell([w])[0]) for r in texts.collect() for w in tokens(r["text"]))
+    assert np.rint(lm._COUNTS[packed.counts]).sum(axis=(1, 2)).tolist() == pytest.approx([total] * lm.CONTEXTS, rel=1e-3)
+
+
 def test_lm_without_rows(spark, tmp_path):
     assert q.op8_lm_scoring(spark, write(tmp_path, documents=frame(spark, {}))).count() == 0
 
