@@ -126,6 +126,38 @@ def test_passages(spark, tmp_path):
     assert all(r["n_equal"] >= 60 for r in rows)
 
 
+@pytest.mark.parametrize("equal", [0.95, 0.9, 0.85])
+def test_edited_passages_are_found_around_any_seed(equal):
+    r = np.random.default_rng(7)
+    some = lambda n: r.integers(0, 1 << 62, n)
+    for n in (60, 80, 100):
+        p = some(n)
+        q = p.copy()
+        at = r.choice(n, round((1 - equal) * n), replace=False)
+        q[at] = some(len(at))
+        whole = [i for i in range(n - sd.K + 1) if (p[i : i + sd.K] == q[i : i + sd.K]).all()]
+        q = np.insert(np.delete(q, at[0]), at[1], some(1)) if len(whole) > 30 and abs(at[0] - at[1]) > 20 else q
+        a, b = np.concatenate([some(40), q, some(40)]), np.concatenate([some(30), p, some(50)])
+        seeds = [(x, y) for x in range(len(a) - 4) for y in range(len(b) - 4) if (a[x : x + 5] == b[y : y + 5]).all()]
+        best = np.zeros((len(a) + 1, len(b) + 1), int)  # brute force: most equal words in order
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (a[i] == b[j]))
+        found = [f for x, y in seeds for f in sd.similar(a, b, [x], [y])]
+        assert len(found) >= 0.9 * len(seeds)
+        for start, end, other_start, other_end, kept in found:
+            assert sd.IDENTITY * max(end - start, other_end - other_start) <= kept <= best[-1, -1]
+        assert max(f[4] for f in found) >= 0.93 * best[-1, -1]
+
+
+def test_extension_drops_no_exact_passage():
+    r = np.random.default_rng(8)
+    p = r.integers(0, 1 << 62, 180)
+    q = p.copy()
+    q[[i for i in range(180) if not 64 <= i < 116 and i % 10 in (2, 5, 8)]] = 1
+    assert sd.similar(p, q, [80], [80])
+
+
 def test_chains_are_the_best_by_brute_force():
     r = np.random.default_rng(4)
     for _ in range(30):
