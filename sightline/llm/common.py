@@ -42,6 +42,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def lower_words(raw: bytes) -> list[bytes]:
+    """The words (WORD) of a UTF-8 text with A-Z lower-cased: bytes methods touch ASCII alone."""
+    return raw.lower().split()
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 2000) -> DataFrame:
     """Stream the named columns of df through rows(iterator of tuples), in Arrow batches both ways.
 

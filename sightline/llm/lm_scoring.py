@@ -1,29 +1,30 @@
 """Language-model scores by online logistic context mixing.
 
-Symbols. A text is its lower-cased words, each spelled in UTF-8 bytes and a closing mark, then one end mark. Each symbol is
-a path of bits in a Huffman tree over the training counts of all 257 symbols, so a text is a sequence of bits.
-
-Predictors. Hashed contexts predict each bit from counts of the training bits in tables of slots: within the word none,
-the last 1, 2, 3 and 4 symbols and the whole prefix; across words the prefix with the word before, with the two words
-before, and with the last TAIL bytes of the word before. Every context is counted over every token of the training texts
-in their order. The tables grow with the training tokens up to 2^MAX_BITS slots; beyond, contexts share slots.
-
-Mixing. The predictions are stretched and mixed by weights that a gate selects (how often the whole prefix was seen, and
-how often after the word before). Each partition trains the weights online on its training texts, every word predicted
-from counts without itself; the partitions' weights are averaged by their bits. In a text the weights are refined
-further, block by block, each block scored before it is learned from. At last each word's spelled probability is mixed
-with its share of the training tokens, in the one of the SHARES that predicts the training texts best, again every word
-without itself. The score is the sum of log10 of these probabilities over all words, so it is a proper probability of
-any text.
-
-Defined results: a null or empty text is the end mark alone; repeated rows get equal scores; an empty training set
-gives even predictions and N = V = 0; texts and words are of any length; extra columns are ignored.
+Symbols. A text is its lower-cased words, then one end mark. A word that occurs twice or more in the training texts and is
+among the LEAVES most frequent ones is a leaf of a Huffman tree over their counts; so is the end mark. Every other word
+is the leaf of an escape, whose count is theirs, and then its UTF-8 bytes and a closing mark in a second tree. A text is
+thus a sequence of bits, and the product of their probabilities is a proper probability of any text.
+
+Predictors of a bit (INPUTS): the share of ones at its node; three tables of hashed contexts with the node; and two
+guesses of the word. The contexts of a word's own bits are the last of the FUNCTION most frequent words before it, the
+last TAIL bytes of the word before, and the word before (words without a leaf are alike there); those of spelled bits are the two symbols before with that
+frequent word, the three symbols before, and all before in the word. The guesses are the words that followed the same
+two words, and the same one word, the last time in this text; they count for a bit as long as their paths agree.
+
+Mixing. The predictions are stretched and mixed by weights that a gate selects: how deep the bit lies, how sure the guesses
+are, how often the word before was met. Each partition learns online from its training texts in their order: each step is
+predicted from what came before, then the weights are moved, then the bits are counted. Counts of the partitions are summed,
+weights averaged by their bits. In a text that is scored the weights are refined further, block by block, each block
+scored before it is learned from. Counts of words, N and V are exact over the whole corpus, in shuffles. The hashed tables
+grow with the training tokens up to 2^max_bits slots; beyond, contexts share slots, and every token still counts.
+
+Defined results: a null or empty text is the end mark alone; repeated rows get equal scores; null ids are kept; an empty
+training set gives even predictions and N = V = 0; texts and words are of any length, words of more than LONGEST bytes
+are always spelled; extra columns are ignored, and none of their names clashes.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -32,144 +33,301 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, ascii_lower, map_rows, written
+from .common import ascii_lower, lower_words, map_rows, written
 
-ORDERS, GATES, BLOCK_TOKENS, RATE = (0, 1, 2, 3, 4, 99), 8, 64, 0.02
-#: Contexts across words: the word before, the two before, and its last TAIL bytes; LEVELS of the gate by the first.
-CROSS, TAIL, LEVELS = 3, 3, 4
-CONTEXTS = len(ORDERS) + CROSS
+#: Words with a leaf of their own, at most, and their bytes at most: so many are collected and sent to tasks (16 MB at most).
+LEAVES, LONGEST = 1 << 18, 64
+FUNCTION, TAIL = 256, 3
+TABLES, GUESSES, LEVELS, STAGES = 3, 2, 3, 8
+INPUTS = 1 + TABLES + GUESSES
+#: Weight sets: depth of the bit x levels of the two guesses x level of the word before.
+SETS = 4 * LEVELS**3
 #: Slots of a table: 2 to the power of MIN_BITS to MAX_BITS, by the training tokens. Counts are sent in STRIP each.
 MIN_BITS, MAX_BITS, STRIP = 16, 22, 1 << 16
 #: Counts in tasks are 16-bit logarithms, STEPS to a doubling: exact where small, else within 0.02 %.
 STEPS = 2048
-#: Tokens whose words are spelled at a time, and tokens of a training step.
-SPELLED_TOKENS, STEP_TOKENS = 1 << 17, 1024
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
-#: At most so many of the most frequent words (a whole count threshold) are sent to tasks; the counts of the rest are joined.
-FREQUENT = 1 << 18
-SPACE, END = 0x20, 256
-_words = re.compile(WORD).findall
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens of the texts that are laid out together and of a step of learning; texts that advance together.
+BATCH_TOKENS, STEP_TOKENS, LANES = 1 << 18, 2048, 64
+#: A text is scored in blocks: the first of so many tokens, each next one twice as long, up to the second.
+BLOCKS = 64, 1024
+#: Bits after which a task hands its counts over, so that no 32-bit count can overflow.
+FLUSH_BITS = 1 << 31
+RATE, FIRST_RATE = 0.02, 0.05
+#: Nodes of GROUP levels of a tree lie side by side in a table, so a word's bits mostly meet in one cache line.
+GROUP = 3
+END, CLOSE = b"\n", b" "
+_MIX, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+_SALTS = [np.uint64((k + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1) for k in range(TABLES)]
 _COUNTS = 2.0 ** (np.arange(1 << 16) / STEPS) - 1
-_LOGS = np.log(_COUNTS + 0.2).astype(np.float32)
+_LOGS = np.log(_COUNTS + 0.4).astype(np.float32)
 
 
 def coded(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(np.log2(n + 1.0) * STEPS), (1 << 16) - 1).astype(np.uint16)
 
 
-_LESS = coded(np.maximum(_COUNTS - 1, 0))
-_LEVEL = np.searchsorted([0.5, 2.5, 15.5], _COUNTS).astype(np.int64)
+@dataclass
+class Tree:
+    """A Huffman tree over counts. By node, leaves first: its parent (the root's is -1) and the bit that leads to it; by inner node the log odds of a one."""
+
+    up: np.ndarray
+    one: np.ndarray
+    odds: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Tree:
+        n = len(counts)
+        weight = counts.tolist() + [0] * (n - 1)
+        up, one = np.full(2 * n - 1, -1, np.int32), np.zeros(2 * n - 1, np.int8)
+        leaves, odds = np.argsort(counts, kind="stable").tolist(), np.zeros(n - 1, np.float32)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            pair = []
+            for _ in range(2):
+                if leaf < n and (inner >= new or weight[leaves[leaf]] <= weight[inner]):
+                    pair.append(leaves[leaf])
+                    leaf += 1
+                else:
+                    pair.append(inner)
+                    inner += 1
+            a, b = pair
+            up[a] = up[b] = new
+            one[b] = 1
+            weight[new] = weight[a] + weight[b]
+            odds[new - n] = np.log((weight[b] + 0.4) / (weight[a] + 0.4))
+        return Tree(up, one, odds)
+
+    def paths(self) -> tuple[np.ndarray, ...]:
+        """Of each leaf where its path starts and its length; of all paths the inner nodes, from 0, the bits, the first node of each node's group and its place there."""
+        n = len(self.odds) + 1
+        at, length = np.arange(n), np.zeros(n, np.int64)
+        while (inner := self.up[at] >= 0).any():
+            length += inner
+            at = np.where(inner, self.up[at], at)
+        start = np.cumsum(length) - length
+        nodes, bits = np.empty(int(length.sum()), np.int32), np.empty(int(length.sum()), np.int8)
+        at, left = np.arange(n), length.copy()
+        while len(live := np.flatnonzero(left)):
+            left[live] -= 1
+            place = start[live] + left[live]
+            bits[place] = self.one[at[live]]
+            at[live] = self.up[at[live]]
+            nodes[place] = at[live] - n
+        depth = np.arange(len(nodes)) - np.repeat(start, length)
+        back = depth % GROUP
+        place = np.ones(len(nodes), np.int8)
+        for up in range(GROUP - 1, 0, -1):
+            inside = np.flatnonzero(back >= up)
+            place[inside] = 2 * place[inside] + bits[inside - up]
+        return start, length, nodes, bits, nodes[np.arange(len(nodes)) - back], place
 
 
 @dataclass
-class Codes:
-    """The Huffman tree: per symbol the nodes passed and the bits taken."""
+class Laid:
+    """The distinct words of a batch as bits: per word where its bits start and how many, and its leaf (or -1); per bit its value, its node's log odds, its state by table and its place in a group of slots, what tells it from all other bits, and whether it is a word's own bit."""
+
+    start: np.ndarray
+    size: np.ndarray
+    leaf: np.ndarray
+    bit: np.ndarray
+    odds: np.ndarray
+    state: list[np.ndarray]
+    place: np.ndarray
+    ident: np.ndarray
+    own: np.ndarray
+    hashes: np.ndarray
+    tails: np.ndarray
+
+
+class Coder:
+    """Words to bits. leaves: the words with a leaf of their own, most frequent first, with counts; other: the count of the rest."""
+
+    def __init__(self, leaves: list[bytes], counts: list[int], other: int):
+        self.leaves, self.counts = leaves, np.array(counts, np.int64)
+        letters = np.ones(256, np.int64)
+        for at in range(0, len(leaves), 4096):
+            letters += np.bincount(np.frombuffer(CLOSE.join(leaves[at : at + 4096]), np.uint8), minlength=256)
+        self.trees = Tree.of(np.append(self.counts, other + 1)), Tree.of(letters)
+        self._lay_trees()
+
+    def _lay_trees(self):
+        self.number = {w: i for i, w in enumerate(self.leaves)}
+        self.escape = len(self.leaves)
+        (s, n, nodes, bits, group, place), (s2, n2, nodes2, bits2, group2, place2) = (t.paths() for t in self.trees)
+        inner = len(self.trees[0].odds)
+        self.start, self.length = np.concatenate([s, s2 + len(nodes)]), np.concatenate([n, n2])
+        self.nodes, self.group = np.concatenate([nodes, nodes2 + inner]), np.concatenate([group, group2 + inner])
+        self.bits, self.place = np.concatenate([bits, bits2]), np.concatenate([place, place2])
+        self.odds = np.concatenate([t.odds for t in self.trees])
+        self.hashes, self.tails = (np.fromiter(map(h, self.leaves), np.uint64, len(self.leaves)) for h in (word_hash, tail_hash))
 
-    nodes: list[np.ndarray]
-    bits: list[np.ndarray]
+    def __getstate__(self):
+        return self.leaves, self.counts, self.trees
 
-    @staticmethod
-    def of(counts: np.ndarray) -> Codes:
-        heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up, n = {}, len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            up[a[2]], up[b[2]] = (n, 0), (n, 1)
-            heapq.heappush(heap, (a[0] + b[0], n, n))
-            n += 1
-        nodes, bits = [], []
-        for s in range(len(counts)):
-            path = []
-            while s in up:
-                path.append(up[s])
-                s = up[s][0]
-            nodes.append(np.array([p[0] for p in path[::-1]], np.int64))
-            bits.append(np.array([p[1] for p in path[::-1]], np.int8))
-        return Codes(nodes, bits)
-
-
-class Speller:
-    """Words to bits and their context slots."""
-
-    def __init__(self, codes: Codes, bits: int = 21):
-        self.codes, self.shift = codes, np.uint64(64 - bits)
-        self.length = np.array([len(b) for b in codes.bits])
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.all_nodes, self.all_bits = np.concatenate(codes.nodes), np.concatenate(codes.bits)
-
-    def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For "\\n" (the end mark) or words: bits, slots (bits x contexts within the word), and the number of bits of each word."""
-        return self.prefixed(words)[:3]
-
-    def prefixed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What spell gives, and per bit a hash of the prefix and the node, for cross()."""
-        raw = [w.encode("utf-8", "surrogatepass") + b" " if w != "\n" else b"\n" for w in words]
-        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-        size = np.array([len(r) for r in raw])
-        first = np.repeat(np.cumsum(size) - size, size)
-        place = np.arange(len(symbols)) - first
-        symbols[symbols == 0x0A] = END
-        prefix = np.zeros(len(symbols), np.uint64)
-        value = (symbols.astype(np.uint64) + np.uint64(1)) * _MIX
-        power = np.cumprod(np.full(int(size.max(initial=1)), np.uint64(0xD6E8FEB86659FD93)))
+    def __setstate__(self, state):
+        self.leaves, self.counts, self.trees = state
+        self._lay_trees()
+
+    def lay(self, words: list[bytes]) -> Laid:
+        leaf = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        raw = [words[i] + CLOSE for i in np.flatnonzero(leaf < 0).tolist()]
+        count = np.ones(len(words), np.int64)
+        count[leaf < 0] += np.fromiter(map(len, raw), np.int64, len(raw))
+        first = np.cumsum(count) - count
+        symbols = np.zeros(int(count.sum()), np.int64)
+        spelled = np.ones(len(symbols), bool)
+        spelled[first] = False
+        symbols[first] = np.where(leaf >= 0, leaf, self.escape)
+        symbols[spelled] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + self.escape + 1
+        place = np.arange(len(symbols)) - np.repeat(first, count)
+        value = np.where(spelled, symbols - self.escape, 0).astype(np.uint64) * _MIX
+        power = np.cumprod(np.full(int(count.max(initial=1)), _MIX2))
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[place])])
-        prefix = run[:-1] - run[first]  # of the symbols before, in this word
-        contexts = []
-        for k, order in enumerate(ORDERS):
-            if order == 99:
-                h = prefix ^ (place.astype(np.uint64) * _MIX)
-            else:
-                h = np.zeros(len(symbols), np.uint64)
-                for back in range(1, order + 1):
-                    at = np.arange(len(symbols)) - back
-                    inside = place >= back
-                    h = h * np.uint64(0xD6E8FEB86659FD93) + np.where(inside, value[np.maximum(at, 0)], np.uint64(back))
-            contexts.append(h + np.uint64((k + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        before = [np.where(place > back, np.concatenate([np.zeros(min(back, len(value)), np.uint64), value[:-back]]), np.uint64(0)) for back in (1, 2, 3)]
+        near = before[0] * _MIX2 + before[1] * _MIX3
+        contexts = near, near + before[2] * _SALTS[0], run[:-1] - run[np.repeat(first, count)] + place.astype(np.uint64) * _MIX3
         reps = self.length[symbols]
         at = np.repeat(self.start[symbols] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-        node = self.all_nodes[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        slots = np.empty((len(at), len(ORDERS)), np.int64)
-        for k, h in enumerate(contexts):
-            x = (np.repeat(h, reps) ^ node) * _MIX
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            slots[:, k] = (x >> self.shift).astype(np.int64)
-        return self.all_bits[at], slots, np.add.reduceat(reps, np.cumsum(size) - size) if len(size) else size, x
+        node, group = self.nodes[at], (self.group[at].astype(np.uint64) + np.uint64(1)) * _MIX2
+        inside = [np.repeat(np.where(spelled, h, np.uint64(0)), reps) for h in contexts]
+        state = [h + group + salt for h, salt in zip(inside, _SALTS, strict=True)]
+        ident = inside[-1] + (node.astype(np.uint64) + np.uint64(1)) * _MIX3
+        size = np.add.reduceat(reps, first) if len(first) else count
+        hashes, tails = self.hashes.take(leaf, mode="clip"), self.tails.take(leaf, mode="clip")
+        hashes[leaf < 0], tails[leaf < 0] = 1, np.fromiter((tail_hash(w[:-1]) for w in raw), np.uint64, len(raw))  # rare words before a word are alike
+        return Laid(np.cumsum(size) - size, size, leaf, self.bits[at], self.odds[node], state, self.place[at], ident, np.repeat(~spelled, reps), hashes, tails)
 
-    def cross(self, prefix: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Slots of a context across words, of bits with these prefixes after these words."""
-        x = (prefix ^ before) * _MIX
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x >> self.shift).astype(np.int64)
 
+def word_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, 42)
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
+def tail_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw[-TAIL:], 7)
 
-def tail_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")[-TAIL:], 7)
 
+@dataclass
+class Tokens:
+    """The tokens of a batch of texts: word numbers; contexts by table; guesses (word numbers or -1) and their levels."""
 
-def befores(ids: np.ndarray, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """Words x CROSS: hashes of what lies before each word of a text, given as word numbers."""
-    one, two, tail = (np.zeros(len(ids), np.uint64) for _ in range(3))
-    one[1:], two[2:], tail[1:] = hashes[ids[:-1]], hashes[ids[:-2]], tails[ids[:-1]]
-    one, two, tail = (x * f for x, f in ((one, np.uint64(0xC2B2AE3D27D4EB4F)), (two, np.uint64(0x9FB21C651E98DF25)), (tail, np.uint64(0xD6E8FEB86659FD93))))
-    return np.stack([one + np.uint64(0xA24BAED4963EE407), (one ^ (two + np.uint64(1))) * np.uint64(0x9FB21C651E98DF25), tail + np.uint64(0x165667B19E3779F9)], 1)
-
-
-def gate(n: np.ndarray) -> np.ndarray:
-    """The first part of the weight set, by how often the whole prefix met this bit."""
-    return np.minimum(np.log2(np.maximum(n, 0) + 1), GATES - 1).astype(np.int64)
-
+    ids: np.ndarray
+    before: np.ndarray
+    guess: np.ndarray
+    level: np.ndarray
 
-@dataclass
-class Model:
-    codes: Codes
-    counts: np.ndarray  # contexts x slots x 2, coded
-    weights: np.ndarray  # GATES * LEVELS x contexts
+    @staticmethod
+    def of(laid: Laid, texts: list[np.ndarray]) -> Tokens:
+        ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+        n, first = len(ids), np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at, none = np.arange(n), len(laid.size)
+        starts = at == first
+        before = np.zeros((TABLES, n), np.uint64)
+        leaf = laid.leaf[ids]
+        last = np.maximum.accumulate(np.where((leaf >= 0) & (leaf < FUNCTION), at, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        before[0] = np.where(last >= first, leaf[last] + 1, 0).astype(np.uint64) * _MIX
+        one = np.where(starts, none, np.concatenate([[none], ids[:-1]]))
+        two = np.where(at - first < 2, none, np.concatenate([[none, none], ids[:-2]])[:n])
+        before[1], before[2] = (np.append(x, np.uint64(0))[one] for x in (laid.tails, laid.hashes))
+        text = np.repeat(np.arange(len(texts)), lengths)
+        key = text * (none + 1) + one
+        guess, level = np.empty((GUESSES, n), np.int64), np.empty((GUESSES, n), np.int64)
+        for q, k in enumerate((key * (none + 1) + two, key)):
+            order = np.argsort(k, kind="stable")
+            same = k[order[1:]] == k[order[:-1]]
+            past = np.full(n, -1)
+            past[order[1:]] = np.where(same, order[:-1], -1)
+            guess[q] = np.where(past >= 0, ids[past], -1)
+            level[q] = (past >= 0).astype(np.int64) + ((past >= 0) & (guess[q][past] == ids[past]))
+        return Tokens(ids, before, guess, level)
+
+
+def _bits_of(laid: Laid, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words by number: where their bits are, the place in ids of each bit, and its place in the word."""
+    n = laid.size[ids]
+    token = np.repeat(np.arange(len(ids)), n)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    return laid.start[ids][token] + place, token, place
+
+
+class Predictor:
+    """The inputs of the mixer and its weight sets, from tables of counts (pairs of numbers or of codes) and the guesses' record."""
+
+    def __init__(self, counts: np.ndarray, odds, levels: tuple[int, int], agree: np.ndarray):
+        self.counts, self.odds, self.levels = counts, odds, levels
+        self.pairs = counts.reshape(TABLES, -1).view(np.uint32 if counts.dtype == np.uint16 else np.uint64)
+        self.half = self.pairs.dtype.type(counts.dtype.itemsize * 8)
+        self.low = self.pairs.dtype.type((1 << int(self.half)) - 1)
+        self.shift = np.uint64(65 - counts.shape[1].bit_length() + GROUP)
+        self.agree = agree  # right and wrong by guess, level and stage
+        self.sure = self._sure()
+
+    def _sure(self) -> np.ndarray:
+        return np.log((self.agree[..., 0] + 0.5) / (self.agree[..., 1] + 0.5)).astype(np.float32)
+
+    def inputs(self, laid: Laid, tokens: Tokens, which: np.ndarray):
+        """Of the bits of these tokens: inputs, weight sets, bits, tokens, slots by table, and the guesses' cells with whether they are right."""
+        at, token, place = _bits_of(laid, tokens.ids[which])
+        bit, own = laid.bit.take(at), laid.own.take(at)
+        s = np.zeros((INPUTS, len(at)), np.float32)
+        s[0] = laid.odds.take(at)
+        side, slots, seen = laid.place.take(at), [], None
+        for k in range(TABLES):
+            met = tokens.before[k].take(which).take(token)
+            x = laid.state[k].take(at)
+            x += met if not k else met * own
+            x *= _MIX
+            x ^= x >> np.uint64(29)
+            x *= _MIX3
+            x >>= self.shift
+            slot = (x.view(np.int64) << GROUP) + side
+            pair = self.pairs[k].take(slot)
+            zeros, ones = pair & self.low, pair >> self.half
+            s[1 + k] = self.odds(zeros, ones)
+            slots.append(slot)
+            seen = np.maximum(zeros, ones)
+        cell = np.where(own, (place > 2).astype(np.int64) + (place > 7), 3)
+        stage = np.minimum(place, STAGES - 1)
+        record = []
+        for q in range(GUESSES):
+            bits = np.flatnonzero((tokens.guess[q].take(which) >= 0).take(token))
+            mine = token.take(bits)
+            g, level, here = tokens.guess[q].take(which).take(mine), tokens.level[q].take(which).take(mine), place.take(bits)
+            there = laid.start.take(g) + here
+            same = np.flatnonzero((here < laid.size.take(g)) & (laid.ident.take(there, mode="clip") == laid.ident.take(at.take(bits))))
+            bits, there, level = bits.take(same), there.take(same), level.take(same)
+            told, late = laid.bit.take(there), stage.take(bits)
+            sure = self.sure[q][level, late]
+            s[1 + TABLES + q][bits] = np.where(told == 1, sure, -sure)
+            on = np.zeros(len(at), np.int64)
+            on[bits] = level
+            cell = cell * LEVELS + on
+            record.append((level * STAGES + late, told == bit.take(bits)))
+        cell = cell * LEVELS + (seen > self.levels[0]) + (seen > self.levels[1])
+        return s, cell, bit, token, slots, record
+
+    def learn(self, bit: np.ndarray, slots: list[np.ndarray], record) -> None:
+        """Counts the bits, and where the guesses were right."""
+        for k, slot in enumerate(slots):
+            np.add.at(self.counts[k].reshape(-1), slot * 2 + bit, self.counts.dtype.type(1))
+        for q, (cell, right) in enumerate(record):
+            self.agree[q] += np.stack([np.bincount(cell[right], minlength=LEVELS * STAGES), np.bincount(cell[~right], minlength=LEVELS * STAGES)], 1).reshape(LEVELS, STAGES, 2)
+        self.sure = self._sure()
+
+
+def _mixed(s: np.ndarray, w: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each bit, and bit - P(one)."""
+    z = s[0] * w[0].take(cell)
+    for k in range(1, INPUTS):
+        z += s[k] * w[k].take(cell)
+    np.clip(z, -30, 30, out=z)
+    e = np.exp(-np.abs(z))
+    p = np.where(z >= 0, 1, e) / (1 + e)
+    return np.minimum(np.where(bit == 1, z, -z), 0) - np.log1p(e), bit - p
+
+
+def start_weights() -> np.ndarray:
+    return np.repeat(np.array([[0.3]] + [[0.3]] * TABLES + [[0.2]] * GUESSES, np.float32), SETS, axis=1)
 
 
 class Packed:
@@ -183,10 +341,10 @@ class Packed:
 
     def __setstate__(self, state):
         self.bits, strips = state
-        flat = np.zeros((CONTEXTS * (2 << self.bits) // STRIP, STRIP), np.uint16)
+        flat = np.zeros((TABLES * (2 << self.bits) // STRIP, STRIP), np.uint16)
         for i in list(strips):
             flat[i] = np.frombuffer(zlib.decompress(strips.pop(i)), np.uint16)
-        self.counts = flat.reshape(CONTEXTS, 1 << self.bits, 2)
+        self.counts = flat.reshape(TABLES, 1 << self.bits, 2)
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -196,56 +354,75 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
 
-def _batches(source, size: int = SPELLED_TOKENS):
-    """The rows of some texts, each with its words in place of the text, size tokens or more at a time; the distinct words, and each text as numbers of them."""
-    held, tokens = [], 0
-    number: dict[str, int] = {}
+class Numbers(dict):
+    """Numbers the words it is asked for, from 0."""
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        return at
+
+
+def _batches(source):
+    """The rows of some texts, each with its size in bytes and its words as numbers, BATCH_TOKENS or more at a time; and the distinct words."""
+    held, tokens, number = [], 0, Numbers()
     for *row, text in source:
-        words = [*_words(text.translate(ASCII_LOWER)), "\n"]
-        held.append((row, len(text.encode("utf-8", "surrogatepass")), np.array([number.setdefault(w, len(number)) for w in words])))
+        raw = text.encode("utf-8", "surrogatepass")
+        words = lower_words(raw)
+        words.append(END)
+        held.append((row, len(raw), np.array(list(map(number.__getitem__, words)))))
         tokens += len(words)
-        if tokens >= size:
+        if tokens >= BATCH_TOKENS:
             yield held, list(number)
-            held, tokens, number = [], 0, {}
+            held, tokens, number = [], 0, Numbers()
     if held:
         yield held, list(number)
 
 
-def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([word_hash(w) for w in words], np.uint64), np.array([tail_hash(w) for w in words], np.uint64)
+def table_bits(tokens: int, max_bits: int = MAX_BITS) -> int:
+    return min(max(MIN_BITS, int(tokens * 4).bit_length()), max_bits)
 
 
-def _bits_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For words by number: where their bits are in the spelled words, and the place in ids of each bit."""
-    n = size[ids]
-    return np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(np.arange(len(ids)), n)
+def _strips(counts: np.ndarray):
+    flat = counts.reshape(-1, STRIP)
+    for i in np.flatnonzero(flat.any(axis=1)).tolist():
+        yield i, zlib.compress(flat[i].data, 1), 0.0, None, None
 
 
-def table_bits(tokens: int) -> int:
-    return min(max(MIN_BITS, int(tokens * 4).bit_length()), MAX_BITS)
+def _count_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones.astype(np.float32) + np.float32(0.4)) / (zeros.astype(np.float32) + np.float32(0.4)))
 
 
-def _count_tables(texts: DataFrame, codes: Codes, bits: int) -> Packed:
-    """Bit counts per context slot, summed over all tokens of texts(text). One task a core sums its own tables first."""
+def _code_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _LOGS.take(ones) - _LOGS.take(zeros)
 
-    def rows(source):
-        speller, out = Speller(codes, bits), np.zeros((CONTEXTS, 2 << bits), np.uint32)
-        for held, words in _batches(source):
-            of_word, slots, per_word, prefix = speller.prefixed(words)
-            start = np.cumsum(per_word) - per_word
-            flat = np.concatenate([ids for *_, ids in held])
-            times = np.repeat(np.bincount(flat, minlength=len(words)).astype(np.uint32), per_word)
-            for k in range(len(ORDERS)):
-                np.add.at(out[k], slots[:, k] * 2 + of_word, times)
-            before = np.concatenate([befores(ids, *hashes) for hashes in [_hashes(words)] for *_, ids in held])
-            for low in range(0, len(flat), 1 << 15):
-                at, token = _bits_of(flat[low : low + (1 << 15)], start, per_word)
-                mine, one = prefix[at], of_word[at]
-                for j in range(CROSS):
-                    np.add.at(out[len(ORDERS) + j], speller.cross(mine, before[low : low + (1 << 15), j][token]) * 2 + one, np.uint32(1))
-        flat = out.reshape(-1, STRIP)
-        for i in np.flatnonzero(flat.any(axis=1)).tolist():
-            yield i, zlib.compress(flat[i].data, 1)
+
+def learn_online(coder: Coder, bits: int, source):
+    """Rows part, v (counts of a strip), seen, w, agree; the last one, of part -1, holds the bits seen, the weights and the guesses' record."""
+    model = Predictor(np.zeros((TABLES, 1 << bits, 2), np.uint32), _count_odds, (0, 3), np.zeros((GUESSES, LEVELS, STAGES, 2), np.int64))
+    w, moved, seen, held = start_weights(), np.full((INPUTS, SETS), 1e-3), 0, 0
+    for texts, words in _batches(source):
+        laid = coder.lay(words)
+        tokens = Tokens.of(laid, [ids for *_, ids in texts])
+        for low in range(0, len(tokens.ids), STEP_TOKENS):
+            s, cell, bit, _, slots, record = model.inputs(laid, tokens, np.arange(low, min(low + STEP_TOKENS, len(tokens.ids))))
+            _, err = _mixed(s, w, cell, bit)
+            for k in range(INPUTS):
+                g = np.bincount(cell, err * s[k], SETS)
+                moved[k] += g * g
+                w[k] += FIRST_RATE * g / np.sqrt(moved[k])
+            model.learn(bit, slots, record)
+            held += len(bit)
+        if held >= FLUSH_BITS:
+            yield from _strips(model.counts)
+            model.counts[:] = 0
+            seen, held = seen + held, 0
+    yield from _strips(model.counts)
+    yield -1, None, float(seen + held), w.ravel().astype(float).tolist(), model.agree.ravel().tolist()
+
+
+def _learn(texts: DataFrame, coder, bits: int) -> tuple[Packed, np.ndarray, np.ndarray]:
+    """The count tables, the weights and the guesses' record of texts(text). One task a core sums its own tables first."""
+    spark = texts.sparkSession
 
     def add(pdf):
         import pandas as pd
@@ -255,193 +432,108 @@ def _count_tables(texts: DataFrame, codes: Codes, bits: int) -> Packed:
             total += np.frombuffer(zlib.decompress(v), np.uint32)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "v": [zlib.compress(coded(total).data, 1)]})
 
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    parts = map_rows(texts.coalesce(cores), ["text"], "part int, v binary", rows, flush=16)
-    summed = parts.groupBy("part").applyInPandas(add, "part int, v binary")
-    return Packed(bits, {r["part"]: bytes(r["v"]) for r in summed.toLocalIterator()})
-
+    parts = map_rows(texts.coalesce(spark.sparkContext.defaultParallelism), ["text"], "part int, v binary, seen double, w array<double>, agree array<bigint>", lambda rows: learn_online(coder.value, bits, rows), flush=16)
+    parts = written(parts)
+    summed = parts.where("part >= 0").select("part", "v").groupBy("part").applyInPandas(add, "part int, v binary")
+    packed = Packed(bits, {r["part"]: bytes(r["v"]) for r in summed.toLocalIterator()})
+    ends = parts.where("part < 0 AND seen > 0")
+    w, agree = start_weights().ravel(), np.zeros(GUESSES * LEVELS * STAGES * 2, np.int64)
+    for r in ends.select(F.posexplode("w").alias("i", "x"), "seen").groupBy("i").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).collect():
+        w[r["i"]] = r["x"]
+    for r in ends.select(F.posexplode("agree").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        agree[r["i"]] = r["x"]
+    return packed, w.reshape(INPUTS, SETS), agree.reshape(GUESSES, LEVELS, STAGES, 2)
 
-def _loss_and_error(s: np.ndarray, w: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log probability of each bit, and bit - P(one)."""
-    z = np.einsum("nk,nk->n", s, w)
-    sign = 2 * bits.astype(np.float32) - 1
-    return -np.logaddexp(0, -z * sign), bits - 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
+class Scorer:
+    """Scores batches of texts; the texts of a batch advance together, each with its own weights."""
+
+    def __init__(self, coder: Coder, counts: np.ndarray, weights: np.ndarray, agree: np.ndarray):
+        levels = coded(np.array([0.5, 3.5]))
+        self.coder, self.weights = coder, weights
+        self.model = Predictor(counts, _code_odds, (int(levels[0]), int(levels[1])), agree)
+
+    def scores(self, texts: list[np.ndarray], words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per text the log probabilities of its words, given as word numbers; and of each word its leaf, or -1."""
+        laid = self.coder.lay(words)
+        tokens = Tokens.of(laid, texts)
+        lengths = np.array([len(t) for t in texts])
+        offset = np.cumsum(lengths) - lengths
+        out = np.zeros(len(tokens.ids))
+        order = np.argsort(-lengths, kind="stable")
+        for some in range(0, len(order), LANES):
+            lanes = order[some : some + LANES]
+            w = np.repeat(self.weights.astype(np.float32)[:, None, :], len(lanes), axis=1)
+            low, block = 0, BLOCKS[0]
+            while low < lengths[lanes[0]]:
+                live = int((lengths[lanes] > low).sum())  # the longer ones come first
+                size = np.minimum(lengths[lanes[:live]] - low, block)
+                lane = np.repeat(np.arange(live), size)
+                which = np.repeat(offset[lanes[:live]] + low - (np.cumsum(size) - size), size) + np.arange(len(lane))
+                s, cell, bit, token, _, _ = self.model.inputs(laid, tokens, which)
+                cell += lane[token] * SETS
+                own = w[:, :live].reshape(INPUTS, -1)
+                p, err = _mixed(s, own, cell, bit)
+                out[which] = np.bincount(token, p, len(which))
+                low, block = low + block, min(2 * block, BLOCKS[1])
+                if low < lengths[lanes[0]]:
+                    step = RATE / np.sqrt(np.maximum(np.bincount(cell, minlength=own.shape[1]), 1))
+                    for k in range(INPUTS):
+                        w[k, :live] += (step * np.bincount(cell, err * s[k], own.shape[1])).reshape(live, SETS)
+        return np.split(out, offset[1:]), laid.leaf
+
+
+def leaves_of(vocab: DataFrame, limit: int = LEAVES) -> tuple[list[bytes], list[int]]:
+    """The words that get a leaf, with counts, most frequent first: of at least two occurrences and so many that no more than limit words reach it; the end mark always."""
+    usable = vocab.where((F.col("c") >= 2) & (F.octet_length("word") <= LONGEST))
+    least, total = 2, 0
+    for r in usable.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(limit + 1).toLocalIterator():
+        total += r["n"]
+        if total > limit:
+            least = r["c"] + 1
+            break
+    found = usable.where((F.col("c") >= least) & (F.col("word") != "\n")).orderBy(F.desc("c"), "word").toPandas()  # at most limit words of LONGEST bytes
+    ends = vocab.where(F.col("word") == "\n").agg(F.sum("c")).first()[0] or 0
+    return [END, *(w.encode("utf-8") for w in found["word"])], [ends, *found["c"].tolist()]
 
-def _train_weights(texts: DataFrame, codes: Codes, tables, start: np.ndarray, frequent, n: int) -> tuple[np.ndarray, float]:
-    """Online training over each partition's texts, each word predicted without itself: the average over partitions, weighted by bits, and the best of SHARES."""
 
-    def rows(source):
-        counts, w, seen, logs = tables.value.counts, start.copy(), 0.0, np.zeros(len(SHARES))
-        speller, known, shares = Speller(codes, tables.value.bits), frequent.value, np.array(SHARES)
-        for held, words in _batches(source):
-            bits, slots, per_word, prefix = speller.prefixed(words)
-            first = np.cumsum(per_word) - per_word
-            s, g, _ = _within(counts, bits, slots, True)
-            flat = np.concatenate([ids for *_, ids in held])
-            before = np.concatenate([befores(ids, *hashes) for hashes in [_hashes(words)] for *_, ids in held])
-            other = np.maximum(np.array([known.get(x, 0) for x in words], np.float64) - 1, 0) / max(n - 1, 1)
-            for low in range(0, len(flat), STEP_TOKENS):
-                ids = flat[low : low + STEP_TOKENS]
-                at, token = _bits_of(ids, first, per_word)
-                one = bits[at]
-                sb, cell = _across(speller, counts, s[at], g[at], prefix[at], before[low : low + STEP_TOKENS], token, one)
-                p, err = _loss_and_error(sb, w[cell], one)
-                pq, total = np.abs(err) * (1 - np.abs(err)), np.abs(sb).sum(1)
-                for k in range(CONTEXTS):  # a step bounded by the curvature
-                    w[:, k] += 0.3 * np.bincount(cell, err * sb[:, k], len(w)) / np.maximum(np.bincount(cell, pq * np.abs(sb[:, k]) * total, len(w)), 50)
-                seen += len(at)
-                spelled = np.exp(np.maximum(np.bincount(token, p, len(ids)), -600))
-                logs += np.log(shares * spelled[:, None] + (1 - shares) * other[ids][:, None]).sum(0)
-        yield seen, w.ravel().tolist(), logs.tolist()
-
-    got = written(map_rows(texts, ["text"], "seen double, w array<double>, logs array<double>", rows))
-    total = got.select(F.posexplode("w").alias("i", "x"), "seen").groupBy("i").agg(F.try_divide(F.sum(F.col("x") * F.col("seen")), F.sum("seen")).alias("x")).collect()
-    out = start.copy().ravel()
-    for r in total:
-        if r["x"] is not None:
-            out[r["i"]] = r["x"]
-    best = got.select(F.posexplode("logs").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy(F.desc("x"), "i").first()
-    return out.reshape(start.shape), SHARES[best["i"]] if best else 0.5
-
-
-def _within(counts: np.ndarray, bits: np.ndarray, slots: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches (log odds of a one) of the contexts within the word, room for those across, and the gates; less: of counts without one occurrence of the bits."""
-    s, last = np.zeros((len(bits), CONTEXTS), np.float32), np.zeros(len(bits))
-    for k in range(len(ORDERS)):
-        pair = counts[k][slots[:, k]]
-        n0, n1 = pair[:, 0], pair[:, 1]
-        if less:
-            n0, n1 = np.where(bits == 0, _LESS[n0], n0), np.where(bits == 1, _LESS[n1], n1)
-        s[:, k] = _LOGS[n1] - _LOGS[n0]
-        last = _COUNTS[n0] + _COUNTS[n1]
-    return s, gate(last) * LEVELS, last
-
-
-def _across(speller: Speller, counts: np.ndarray, s: np.ndarray, g: np.ndarray, prefix: np.ndarray, before: np.ndarray, token: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """s with the stretches across words filled in, and the weight sets; less: the bits of which one occurrence is left out."""
-    for j in range(CROSS):
-        pair = counts[len(ORDERS) + j][speller.cross(prefix, before[:, j][token])]
-        n0, n1 = pair[:, 0], pair[:, 1]
-        if less is not None:
-            n0, n1 = np.where(less == 0, _LESS[n0], n0), np.where(less == 1, _LESS[n1], n1)
-        s[:, len(ORDERS) + j] = _LOGS[n1] - _LOGS[n0]
-        if not j:
-            g = g + _LEVEL[np.maximum(n0, n1)]
-    return s, g
-
-
-def least_counts(vocab: DataFrame, *limits: int) -> list[int]:
-    """For each limit the smallest count that no more than that many words reach."""
-    out, total = [None] * len(limits), 0
-    for r in vocab.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(max(limits)).collect():
-        total += r["n"]
-        out = [r["c"] if total <= limit else least for least, limit in zip(out, limits, strict=True)]
-    return [least if least is not None else 1 << 62 for least in out]
-
-
-def fit(vocab: DataFrame, texts: DataFrame, frequent, n: int):
-    """The model of texts(text) with n tokens and their vocabulary (word, c): the codes, the count tables as a broadcast of Packed, the weights, and the share of spelled probabilities."""
-
-    def spelled(source):
-        n = np.zeros(257, np.int64)
-        for w, c in source:
-            if w == "\n":
-                n[END] += c
-                continue
-            for b in w.encode("utf-8", "surrogatepass"):
-                n[b] += c
-            n[SPACE] += c
-        for s in np.flatnonzero(n).tolist():
-            yield s, int(n[s])
-
-    counts = np.zeros(257, np.int64)
-    for r in map_rows(vocab, ["word", "c"], "s int, n bigint", spelled).groupBy("s").agg(F.sum("n").alias("n")).collect():
-        counts[r["s"]] = r["n"]
-    codes = Codes.of(counts)
-    shared = vocab.sparkSession.sparkContext.broadcast(_count_tables(texts, codes, table_bits(n)))
-    start = np.tile(np.array([0.1] * (len(ORDERS) - 1) + [0.3] + [0.1] * CROSS, np.float64), (GATES * LEVELS, 1))
-    weights, share = _train_weights(texts, codes, shared, start, frequent, n)
-    return codes, shared, weights, share
+def fit(vocab: DataFrame, texts: DataFrame, n: int, max_bits: int = MAX_BITS):
+    """The model of texts(text) with n tokens and their vocabulary (word, c): broadcasts of the coder and of the count tables, the weights, the guesses' record."""
+    context = texts.sparkSession.sparkContext
+    leaves, counts = leaves_of(vocab)
+    coder = context.broadcast(Coder(leaves, counts, n - sum(counts)))
+    packed, weights, agree = _learn(texts, coder, table_bits(n, max_bits))
+    return coder, context.broadcast(packed), weights, agree
 
 
-class Scorer:
-    """Scores batches of texts; the words of a batch are spelled once."""
-
-    def __init__(self, model: Model):
-        self.model, self.speller = model, Speller(model.codes, model.counts.shape[1].bit_length() - 1)
-
-    def scores(self, texts: list[np.ndarray], words: list[str]) -> list[np.ndarray]:
-        """Per text the log probabilities of its words, given as word numbers; all texts advance together, block by block."""
-        bits, slots, size, prefix = self.speller.prefixed(words)
-        start, counts, hashes = np.cumsum(size) - size, self.model.counts, _hashes(words)
-        s, g, _ = _within(counts, bits, slots, False)
-        sets = GATES * LEVELS
-        out = [np.zeros(len(t)) for t in texts]
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        weights = np.tile(self.model.weights.astype(np.float32), (len(texts), 1, 1))
-        k = s.shape[1]
-        for low in range(0, len(texts[order[0]]) if order else 0, BLOCK_TOKENS):
-            live = [i for i in order if len(texts[i]) > low]
-            for some in range(0, len(live), 256):
-                part = live[some : some + 256]
-                blocks = [texts[i][low : low + BLOCK_TOKENS] for i in part]
-                flat = np.concatenate(blocks)
-                at, token = _bits_of(flat, start, size)
-                lane = np.repeat(np.arange(len(part)), [len(b) for b in blocks])[token]
-                ids, from_ = np.array(part), max(low - 2, 0)
-                before = np.concatenate([befores(texts[i][from_ : low + BLOCK_TOKENS], *hashes)[low - from_ :] for i in part])
-                sb, cell = _across(self.speller, counts, s[at], g[at], prefix[at], before, token, None)
-                cell = lane * sets + cell
-                own = weights[ids].reshape(-1, k)
-                p, err = _loss_and_error(sb, own[cell], bits[at])
-                done = np.bincount(token, p, len(flat))
-                for i, b, end in zip(part, blocks, np.cumsum([len(b) for b in blocks]).tolist(), strict=True):
-                    out[i][low : low + len(b)] = done[end - len(b) : end]
-                if low + BLOCK_TOKENS < len(texts[part[0]]):
-                    for j in range(k):
-                        own[:, j] += RATE * np.bincount(cell, err * sb[:, j], len(own)) / np.maximum(np.sqrt(np.bincount(cell, minlength=len(own))), 1)
-                    weights[ids] = own.reshape(len(part), sets, k)
-        return out
-
-
-def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row of docs."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~is_training).alias("held_out"))
-    vocab = written(vocabulary(docs.where(is_training), text_col))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~F.coalesce(is_training, F.lit(False))).alias("held_out"))
+    vocab = written(vocabulary(rows.where("NOT held_out")))
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    (least,) = least_counts(vocab, FREQUENT)
-    frequent = {r["word"]: r["c"] for r in vocab.where(F.col("c") >= least).collect()}  # at most FREQUENT words
-    shared = spark.sparkContext.broadcast(frequent)
-    codes, tables, weights, share = fit(vocab, rows.where("NOT held_out").select("text"), shared, n)
+    coder, tables, weights, agree = fit(vocab, rows.where("NOT held_out").select("text"), n, max_bits)
 
     def run(source):
-        frequent = shared.value
-        scorer = Scorer(Model(codes, tables.value.counts, weights))
-        for held, names in _batches(source):
-            yield from scored(scorer, frequent, held, names)
-
-    def scored(scorer, frequent, held, names):
-        known = np.array([frequent.get(w, 0) for w in names], np.float64)
-        logs = np.log10(known + 1)
-        hashes = np.array([word_hash(w) for w in names], np.uint64).view(np.int64)
-        for ((row, key, out), n_bytes, ids), p in zip(held, scorer.scores([ids for *_, ids in held], names), strict=True):
-            spelled = p / np.log(10)
-            c = known[ids]
-            mixed = np.log10((1 - share) * c / max(n, 1) + share * 10.0 ** np.maximum(spelled, -290)) if n else spelled
-            mixed = np.where(c > 0, mixed, spelled + (np.log10(share) if n else 0))
-            rare = np.flatnonzero(c == 0)
-            yield row, key, out, len(ids), int((c > 0).sum()), float(logs[ids].sum()), float(mixed.sum()), n_bytes, hashes[ids[rare]].tolist(), spelled[rare].tolist()
+        scorer = Scorer(coder.value, tables.value.counts, weights, agree)
+        known = np.append(coder.value.counts, 0)
+        for held, words in _batches(source):
+            scores, leaf = scorer.scores([ids for *_, ids in held], words)
+            c = known[leaf]
+            logs = np.log10(c + 1.0)
+            hashes = np.fromiter((0 if i >= 0 else word_hash(w) for w, i in zip(words, leaf.tolist(), strict=True)), np.uint64, len(words)).view(np.int64)
+            for ((row, key, out), n_bytes, ids), p in zip(held, scores, strict=True):
+                rare, times = np.unique(ids[leaf[ids] < 0], return_counts=True)
+                yield row, key, out, len(ids), int((c[ids] > 0).sum()), float(logs[ids].sum()), float(p.sum() / np.log(10)), n_bytes, hashes[rare].tolist(), times.tolist()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, rare array<bigint>, spelled array<double>"
+    schema = f"row bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, rare array<bigint>, times array<bigint>"
     each = written(map_rows(rows, ["row", id_col, "held_out", "text"], schema, run, flush=200))
-    rare = each.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.spelled").alias("spelled"))
-    counts = vocab.where(F.col("c") < least).select(F.xxhash64("word").alias("h"), "c")
-    gain = F.log10(F.lit(1 - share) * F.col("c") / F.lit(float(max(n, 1))) + F.lit(share) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-290.0)))) - F.log10(F.lit(share)) - F.col("spelled")
-    found = rare.join(counts, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"), F.sum(gain).alias("gain"))
-    out = each.drop("rare", "spelled").join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
+    rare = each.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+    leaf_counts = coder.value.counts
+    least = int(leaf_counts[-1]) if len(leaf_counts) > 1 else 1 << 62  # a word below it, or too long, has no leaf
+    counts = vocab.where((F.col("c") <= least) | (F.octet_length("word") > LONGEST)).select(F.xxhash64("word").alias("h"), "c")
+    found = rare.join(counts, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("more_logs"))
+    out = each.drop("rare", "times").join(found, "row", "left")
     none = float(np.log10(n + v + 1))
     return out.select(
         id_col,
