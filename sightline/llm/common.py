@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +18,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint directory. Only a local session without either, as in tests, gets a folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = getattr(spark, "_sightline_shared", None) or tempfile.mkdtemp(prefix="sightline-")
         spark._sightline_shared = folder
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as Parquet in the shared folder, read again. Survives lost executors."""
+    """Cut the lineage: df as Parquet in the shared folder, read again. Survives lost executors; its size in bytes is known to the planner, which broadcasts it in a join only below spark.sql.autoBroadcastJoinThreshold."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sightline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what written(df) wrote, once nothing reads it any more."""
+    remove(df.sparkSession, df._written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end all that written() wrote within; results must be stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, by any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +110,28 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Ite
                 held = []
         if held:
             yield _batch(held, names, target)
+        held = []
+        pa.default_memory_pool().release_unused()  # the worker is used again by other stages
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns as they are, for which make()(values of the named column) says so; make is called once in each task. One pass in Arrow batches, no join."""
+    at = df.columns.index(column)
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    plain = df.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def _batch(held: list[tuple], names: list[str], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, type=target.field(i).type) for i, col in enumerate(zip(*held, strict=True))], schema=target)
 

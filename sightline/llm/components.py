@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(_tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     mark = _mark(e)
     while mark[0]:
-        e = written(_small(_large(e)))
+        e, last = written(_small(_large(e))), e
+        forget(last)
         now = _mark(e)
         if now == mark:
             break

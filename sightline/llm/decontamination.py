@@ -11,8 +11,9 @@ Before the join, a bit map of fixed size (BITS) of the benchmark's window hashes
 windows that can't join. Its size doesn't grow with the benchmark; where it fills up it only drops less.
 
 Defined results: null and empty texts and items have no windows; items of fewer than WINDOW tokens can't be found;
-rows of one id with different texts are matched apart and reported once per id; an empty benchmark or table gives no
-rows; texts are of any length.
+rows of one id with different texts are matched apart and reported once per id; rows without an id are reported under a
+null one; an empty benchmark or table gives no rows; texts are of any length; extra columns are ignored. clean() drops
+exactly the rows whose text leaks, whatever their id, and keeps all others with all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import free_name, map_rows, written
 
 WINDOW, LITERALS, RUN, BITS = 8, 3, 13, 1 << 22
 #: Units that count as such directly after a number.
@@ -110,6 +111,12 @@ _SCHEMA = "id bigint, version bigint, at int, hash bigint, slots array<string>,
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id_col, item_col, n_tokens of the longest consistent run, and exact (its slots all equal) of each leaked item."""
+    best = _runs(docs, benchmark, id_col, text_col, item_col, item_text).groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max(F.struct("n_tokens", "exact")).alias("best"))
+    return best.select(id_col, item_col, "best.n_tokens", "best.exact")
+
+
+def _runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """id, version (XXH64 of the text), item, n_tokens and exact of each run that leaks an item."""
     items = map_rows(benchmark, [item_col, item_text], _SCHEMA, lambda rows: _rows_of(rows, None))
     bits = items.select((F.shiftrightunsigned("hash", 40) % BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()  # at most BITS rows
     bitmap = np.zeros(BITS // 8, np.uint8)
@@ -129,10 +136,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     length = F.col("n") + WINDOW - 1
     kept = runs.where((length >= F.least(F.lit(RUN), "item_tokens")) & consistent)
     exact = F.forall("pairs", lambda p: p["a"] == p["b"])
-    best = kept.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max(F.struct(length.cast("long").alias("n_tokens"), exact.alias("exact"))).alias("best"))
-    return best.select(id_col, item_col, "best.n_tokens", "best.exact")
+    return kept.select("id", "version", "item", length.cast("long").alias("n_tokens"), exact.alias("exact"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that leak an item."""
-    return docs.join(leaks(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text leaks an item."""
+    version = free_name("version", docs)
+    gone = written(_runs(docs, benchmark, id_col, text_col, item_col, item_text).select("version").distinct()).toDF(version)  # broadcast by the planner if its bytes are few
+    return docs.join(gone, F.xxhash64(docs[text_col]) == gone[version], "left_anti")

@@ -14,7 +14,9 @@ words on, at most one edit away: one word replaced, inserted or deleted.
 
 Defined results: null and empty texts have no lines that go; identical rows (same id and text) count as one document
 and get the same result; rows of one id with different texts are ordered by a hash of the text; an empty table gives
-no rows; lines and texts are of any length; extra columns are kept by apply().
+no rows; lines and texts are of any length. apply() keeps every row and column that it doesn't cut, whatever the columns
+are called; rows without an id keep their texts, and so do null texts; a document that keeps no line goes with all rows
+that repeat it.
 """
 
 from __future__ import annotations
@@ -25,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import free_name, map_rows, written
 
 MIN_WORDS, NEAR_WORDS = 3, 8
-#: Up to so many documents (16 bytes each) are broadcast to fetch their lines; beyond, they are joined by a shuffle.
-BROADCAST_DOCS = 1_000_000
 EQUAL_LEFT, EQUAL_RIGHT, LONG_LEFT, LONG_RIGHT, SHORT = 1, 2, 4, 8, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -116,9 +116,8 @@ def _flags(firsts: DataFrame) -> DataFrame:
 def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The places (doc, version, line) of first occurrences that have an earlier line one edit away."""
     wanted = written(firsts.join(_flags(firsts), "h1").where("flags > 0").groupBy("doc", "version").agg(F.collect_list(F.struct("line", "flags")).alias("want")))
-    small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    fetched = source.join(F.broadcast(wanted) if small else wanted, ["doc", "version"])
+    fetched = source.join(wanted, ["doc", "version"])  # the planner broadcasts it only if its written bytes are few
 
     def emit(rows):
         for doc, version, text, want in rows:
@@ -141,9 +140,8 @@ def _verified(docs: DataFrame, links: DataFrame, id_col: str, text_col: str) ->
     """The links whose lines are within one edit, by the words of both."""
     ends = links.select(F.col("other.doc").alias("doc"), F.col("other.version").alias("version"), F.col("other.line").alias("line")).union(links.select("doc", "version", "line")).distinct()
     wanted = written(ends.groupBy("doc", "version").agg(F.collect_list("line").alias("want")))
-    small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    texts = source.join(F.broadcast(wanted) if small else wanted, ["doc", "version"])
+    texts = source.join(wanted, ["doc", "version"])
     at = texts.select("doc", "version", F.explode("want").alias("line"), F.split("text", "\n").alias("all")).select("doc", "version", "line", F.col("all")[F.col("line")].alias("words")).dropDuplicates(["doc", "version", "line"])
     at = written(at)
     mine = links.join(at, ["doc", "version", "line"])
@@ -178,10 +176,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines cut from the text; documents that keep no line go, those without lines stay."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
+    doc, version, dropped, cut_text = (free_name(n, docs) for n in ("doc", "version", "dropped", "cut_text"))
+    gone = written(dropped_lines(docs, id_col, text_col)).toDF(doc, version, dropped)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
         def one(text, lines):
             if text is None or lines is None:
                 return text
@@ -189,8 +188,8 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             kept = [x for i, x in enumerate(text.split("\n")) if i not in gone]
             return "\n".join(kept) if any(map(line_words, kept)) else None
 
-        return pd.Series([one(t, d) for t, d in zip(texts, dropped, strict=True)], dtype=object)
+        return pd.Series([one(t, d) for t, d in zip(texts, lines, strict=True)], dtype=object)
 
-    both = docs.join(gone, (docs[id_col] == gone["_doc"]) & (F.xxhash64(docs[text_col]) == gone["_version"]), "left")
-    out = both.withColumn("_text", cut(text_col, "_dropped")).where(F.col("_dropped").isNull() | F.col("_text").isNotNull())
-    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    both = docs.join(gone, (docs[id_col] == gone[doc]) & (F.xxhash64(docs[text_col]) == gone[version]), "left")
+    out = both.withColumn(cut_text, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(cut(text_col, dropped))).where(F.col(dropped).isNull() | F.col(cut_text).isNotNull())
+    return out.select(*(F.col(cut_text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

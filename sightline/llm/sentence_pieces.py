@@ -6,7 +6,8 @@ strings side by side encode to exactly these two tokens. One automaton pass list
 token of each prefix, and the ids are recovered backwards from the end.
 
 Defined results: a null or empty text has no ids and decodes to ""; characters outside the vocabulary become byte
-pieces; chunks and texts are of any length; repeated rows give repeated results.
+pieces; chunks and texts are of any length; repeated rows and rows without an id give their own results; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 SPACE = "▁"
-REMEMBERED = 1 << 18
+#: Pairs, and chunks with their ids, that a worker remembers; either memory is emptied when full, which changes no result.
+REMEMBERED = 1 << 17
 
 
 class PieceCodec:
@@ -72,7 +74,7 @@ class PieceCodec:
     def _fits(self, a: str, b: str) -> bool:
         ok = self.pair.get((a, b))
         if ok is None:
-            if len(self.pair) >= REMEMBERED * 4:
+            if len(self.pair) >= REMEMBERED:
                 self.pair.clear()
             ok = self.pair[a, b] = self._merge(a + b) == [a, b]
         return ok

@@ -8,12 +8,13 @@ by the same bounds, and compares what is left. A shard reports links as stars (e
 local group), never as all pairs of a group; components() joins the stars across shards.
 
 Defined results: text null or without words: fingerprint zero, linked like any other; fewer words than a shingle: the
-whole sequence is the one shingle; repeated rows share a component; an empty table gives no rows.
+whole sequence is the one shingle; repeated rows share a component; rows without an id have a fingerprint, are linked to
+nothing by themselves and show the component of their fingerprint (null, if only such rows have it); similar_documents()
+leaves them out; an empty table gives no rows; texts are of any length; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, map_rows, written
+from .common import lower_words, map_rows, written
 from .components import components
 
 #: Fingerprints sampled (smallest hashes first) to place the vantage points of the upper levels: at most 64 KB collected.
 SAMPLE = 8192
 #: Rows a shard is planned for; a leaf is compared exhaustively.
 SHARD_ROWS, LEAF = 8192, 96
-#: For similar_documents: bands of least shingle values, and how far fingerprints may lie apart before shingles are compared.
-BANDS, BAND_ROWS, WIDE = 12, 3, 22
-#: Up to so many document ids (8 bytes each) are broadcast to fetch texts; beyond, they are joined by a shuffle.
-BROADCAST_DOCS = 1_000_000
+#: For similar_documents: bands of least shingle values, and of how many bands together groups are formed at most.
+BANDS, BAND_ROWS, DEPTH = 12, 3, 3
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_words = re.compile(WORD).findall
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
     """XXH64 (seed 42) of every shingle, repeats included; fewer words than a shingle make one."""
-    words = _words((text or "").translate(ASCII_LOWER))
+    words = lower_words((text or "").encode("utf-8", "surrogatepass"))
     if not words:
         return np.zeros(0, np.uint64)
-    shingles = map(" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [" ".join(words)]  # noqa: B905
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]  # noqa: B905
     return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, max(1, len(words) - width + 1))
 
 
@@ -222,8 +220,7 @@ def _prints_and_bands(df: DataFrame, width: int, id_col: str, text_col: str) ->
 def _similar(df: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of documents whose shingle sets overlap by the similarity or more; the texts are read for these documents only."""
     wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "doc")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")  # broadcast by the planner if its bytes are few
 
     def sets(source):
         for doc, text in source:
@@ -245,17 +242,29 @@ def similar_documents(df: DataFrame, width: int = 5, similarity: float = 0.8, ra
     """id_col and component_id of every row: linked within radius bits, or by a shingle similarity of at least that much.
 
     Copies of that similarity often differ in ten bits or so, a radius at which no tree over random fingerprints prunes.
-    So documents that share a band of least shingle values are linked to the smallest and the largest document of
-    their band, if their fingerprints lie within WIDE bits, and each such link is verified on the whole shingle sets.
+    So documents that share a band of least shingle values form a group, and each is compared with the group's smallest
+    document on the whole shingle sets. Those that fail form smaller groups with the same and one more band in common,
+    together with two of those that didn't, and so on up to DEPTH bands: a true pair shares half of its bands.
     """
     prints = written(_prints_and_bands(df.where(F.col(id_col).isNotNull()), width, id_col, text_col))
     close = written(near_components(prints.select(id_col, "fp"), radius, id_col))
-    one = prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).cast("long").alias("doc"), "bands")).alias("m")).select("fp", "m.doc", F.explode("m.bands").alias("band"))
-    ends = one.groupBy("band").agg(F.min(F.struct("doc", "fp")).alias("low"), F.max(F.struct("doc", "fp")).alias("high")).where("low.doc < high.doc")
-    met = one.join(ends, "band").select("doc", "fp", F.explode(F.array("low", "high")).alias("end")).where("doc <> end.doc")
-    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("end.fp"))) <= WIDE)
-    pairs = written(met.select(F.greatest("doc", "end.doc").alias("a"), F.least("doc", "end.doc").alias("b")).distinct())
-    edges = close.select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")).where("a <> b").union(_similar(df, pairs, width, similarity, id_col, text_col))
+    one = prints.groupBy("fp", "bands").agg(F.min(F.col(id_col).cast("long")).alias("doc")).join(close.groupBy("fp").agg(F.min(F.col("component_id").cast("long")).alias("part")), "fp")
+    edges = close.select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")).where("a <> b")
+    rows = one.select("doc", "part", "bands", F.posexplode("bands").alias("last", "key"))
+    for depth in range(DEPTH):
+        groups = rows.groupBy("key").agg(F.min(F.struct("doc", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "hub")
+        met = written(rows.join(groups, "key").where("doc <> hub.doc").withColumn("a", F.greatest("doc", "hub.doc")).withColumn("b", F.least("doc", "hub.doc")))
+        alike = written(_similar(df, written(met.where("part <> hub.part").select("a", "b").distinct()), width, similarity, id_col, text_col))
+        edges = edges.union(alike)
+        told = met.join(alike.withColumn("alike", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("alike", F.col("part") == F.col("hub.part")))
+        alone = told.where("NOT linked").select("key", "doc", "part", "bands", "last")
+        if depth + 1 == DEPTH or alone.isEmpty():
+            break
+        member = F.struct("doc", F.col("hub.part").alias("part"), "bands", "last")
+        settled = told.where("linked").groupBy("key").agg(F.array_distinct(F.array(F.min(member), F.max(member))).alias("m")).select("key", F.explode("m").alias("m")).select("key", "m.*")
+        again = written(alone.union(settled.join(alone.select("key").distinct(), "key", "left_semi").select(*alone.columns)))
+        more = again.select("key", "doc", "part", "bands", "last", F.posexplode("bands").alias("j", "band")).where("j > last")
+        rows = more.select("doc", "part", "bands", F.col("j").alias("last"), F.xxhash64("key", "j", "band").alias("key"))
     found = components(edges)
     return close.join(found, close[id_col] == found["node"], "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
 

@@ -113,6 +113,48 @@ def test_similar_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
 
 
+def test_similar_documents_of_a_template_against_all_pairs(spark):
+    """Many documents of one template (0.55 to 0.85 alike) share bands without being copies; copies among them are found all the same."""
+    r = random.Random(5)
+    base = [f"t{i}" for i in range(240)]
+
+    def other(words_, n, seed):
+        out, s = list(words_), random.Random(seed)
+        for at in s.sample(range(len(out)), n):
+            out[at] = f"x{seed}_{at}"
+        return out
+
+    texts = {i: other(base, 14, i) for i in range(60)}
+    texts |= {100 + i: other(texts[r.randrange(60)], r.choice([1, 2, 3, 5]), 100 + i) for i in range(60)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x["doc_id"]: x["component_id"] for x in sh.similar_documents(frame(spark, {i: " ".join(w) for i, w in texts.items()})).collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    linked = {x for p in pairs for x in p}
+    assert all(got[i] == i for i in texts if i not in linked)
+
+
+def test_clashing_names_and_odd_rows_in_every_stage(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sightline.llm import stages
+
+    rows = [*odd_texts().items(), (9, odd_texts()[9]), (None, lines(3, 30)), (None, None)]
+    df = frame(spark, rows)
+    for name in ("_text", "_dropped", "_doc", "_version", "doc", "dropped", "cut_text", "gone", "fp", "component_id", "id", "hash", "c0", "Doc_ID_", "a b", "words", "line"):
+        df = df.withColumn(name, F.lit(name))
+    d = write(tmp_path, labels=spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([(1, "one of the many items that no document here holds at all")], "item_id long, text string"))
+    for stage in (stages.drop_toxic, stages.drop_repeated_lines, stages.drop_near_copies, stages.drop_leaks):
+        out = stage(spark, df, d)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert {x["gone"] for x in got} == {"gone"} and {x["a b"] for x in got} == {"a b"}
+        assert sum(x["doc_id"] is None for x in got) == 2
+        assert len(got) == len(rows) or stage in (stages.drop_repeated_lines, stages.drop_near_copies)
+        assert stage(spark, df.limit(0), d).count() == 0
+    assert stages.encode_pieces(spark, df, d).count() == len(rows)
+
+
 def test_passages(spark, tmp_path):
     shared = words(77, 70)
     fuzzy = shared.split()
