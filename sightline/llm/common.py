@@ -43,6 +43,34 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes in storage up to which sized() has a table broadcast; in memory it takes a few times as much.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, which written() made, to be broadcast in a join if its measured bytes are at most BROADCAST_BYTES; beyond, the planner shuffles."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, right unique in them. Keys that hold more than a HOT-th of the left rows (fewer than HOT keys, so their broadcast is bounded) are spread over SALTS tasks, where their right row is repeated."""
+    salt = free_name("salt", left, right)
+    total = left.count()
+    hot = left.groupBy(*keys).count().where(F.col("count") > F.lit(max(1000, total // HOT))).select(*keys, F.lit(True).alias(salt))
+    hot = F.broadcast(written(hot))
+    dealt = F.when(F.col(salt), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    every = F.when(F.col(salt), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(hot, keys, "left").withColumn(salt, dealt)
+    b = right.join(hot, keys, "left").withColumn(salt, F.explode(every))
+    return a.join(b, [*keys, salt]).drop(salt)
+
+
+HOT, SALTS = 1000, 64
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

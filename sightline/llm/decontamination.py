@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, written
+from .common import free_name, map_rows, sized, written
 
 WINDOW, LITERALS, RUN, BITS = 8, 3, 13, 1 << 22
 #: Units that count as such directly after a number.
@@ -142,5 +142,5 @@ def _runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text leaks an item."""
     version = free_name("version", docs)
-    gone = written(_runs(docs, benchmark, id_col, text_col, item_col, item_text).select("version").distinct()).toDF(version)  # broadcast by the planner if its bytes are few
+    gone = sized(written(_runs(docs, benchmark, id_col, text_col, item_col, item_text).select("version").distinct())).toDF(version)
     return docs.join(gone, F.xxhash64(docs[text_col]) == gone[version], "left_anti")

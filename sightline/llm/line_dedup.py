@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, written
+from .common import free_name, map_rows, sized, written
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 EQUAL_LEFT, EQUAL_RIGHT, LONG_LEFT, LONG_RIGHT, SHORT = 1, 2, 4, 8, 16
@@ -117,7 +117,7 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> Dat
     """The places (doc, version, line) of first occurrences that have an earlier line one edit away."""
     wanted = written(firsts.join(_flags(firsts), "h1").where("flags > 0").groupBy("doc", "version").agg(F.collect_list(F.struct("line", "flags")).alias("want")))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    fetched = source.join(wanted, ["doc", "version"])  # the planner broadcasts it only if its written bytes are few
+    fetched = source.join(sized(wanted), ["doc", "version"])
 
     def emit(rows):
         for doc, version, text, want in rows:
@@ -141,7 +141,7 @@ def _verified(docs: DataFrame, links: DataFrame, id_col: str, text_col: str) ->
     ends = links.select(F.col("other.doc").alias("doc"), F.col("other.version").alias("version"), F.col("other.line").alias("line")).union(links.select("doc", "version", "line")).distinct()
     wanted = written(ends.groupBy("doc", "version").agg(F.collect_list("line").alias("want")))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    texts = source.join(wanted, ["doc", "version"])
+    texts = source.join(sized(wanted), ["doc", "version"])
     at = texts.select("doc", "version", F.explode("want").alias("line"), F.split("text", "\n").alias("all")).select("doc", "version", "line", F.col("all")[F.col("line")].alias("words")).dropDuplicates(["doc", "version", "line"])
     at = written(at)
     mine = links.join(at, ["doc", "version", "line"])
@@ -177,7 +177,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines cut from the text; documents that keep no line go, those without lines stay."""
     doc, version, dropped, cut_text = (free_name(n, docs) for n in ("doc", "version", "dropped", "cut_text"))
-    gone = written(dropped_lines(docs, id_col, text_col)).toDF(doc, version, dropped)
+    gone = sized(written(dropped_lines(docs, id_col, text_col))).toDF(doc, version, dropped)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:

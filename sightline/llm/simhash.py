@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, map_rows, written
+from .common import lower_words, map_rows, sized, written
 from .components import components
 
 #: Fingerprints sampled (smallest hashes first) to place the vantage points of the upper levels: at most 64 KB collected.
@@ -220,7 +220,7 @@ def _prints_and_bands(df: DataFrame, width: int, id_col: str, text_col: str) ->
 def _similar(df: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of documents whose shingle sets overlap by the similarity or more; the texts are read for these documents only."""
     wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")  # broadcast by the planner if its bytes are few
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(sized(wanted), "doc")
 
     def sets(source):
         for doc, text in source:
