@@ -55,12 +55,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys, right unique in them. Keys that hold more than a HOT-th of the left rows (fewer than HOT keys, so their broadcast is bounded) are spread over SALTS tasks, where their right row is repeated."""
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """Inner join on keys, right unique in them; counts has keys and n, how many left rows each holds. Keys of more than a HOT-th of all rows (fewer than HOT, so their broadcast is bounded) are spread over SALTS tasks, where their right row is repeated."""
     salt = free_name("salt", left, right)
-    total = left.count()
-    hot = left.groupBy(*keys).count().where(F.col("count") > F.lit(max(1000, total // HOT))).select(*keys, F.lit(True).alias(salt))
-    hot = F.broadcast(written(hot))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(written(counts.where(F.col("n") > F.lit(max(1000, total // HOT))).select(*keys, F.lit(True).alias(salt))))
     dealt = F.when(F.col(salt), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.when(F.col(salt), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     a = left.join(hot, keys, "left").withColumn(salt, dealt)

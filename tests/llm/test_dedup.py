@@ -200,14 +200,38 @@ def test_extension_drops_no_exact_passage():
     assert sd.similar(p, q, [80], [80])
 
 
-def test_chains_are_the_best_by_brute_force():
+def test_the_first_chain_is_the_best_of_all():
     r = np.random.default_rng(4)
-    for _ in range(30):
-        x, y = np.sort(r.integers(0, 80, 12)), r.integers(0, 80, 12)
-        best = sd.chains(x, y)
-        assert sorted(i for c in best for i in c) == list(range(12))
-        for c in best:
-            assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:]))  # noqa: B905
+    for _ in range(60):
+        x, y = r.integers(0, 90, 11), r.integers(0, 90, 11)
+        best = -1.0
+        for some in range(1, 1 << 11):  # brute force: every set of matches that is a chain
+            c = sorted((i for i in range(11) if some >> i & 1), key=lambda i: x[i])
+            if all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:])):  # noqa: B905
+                best = max(best, sd.K * len(c) - sd.GAP_COST * sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(c, c[1:])))  # noqa: B905
+        got = sd.chains(x, y)
+        c = got[0]
+        assert sd.K * len(c) - sd.GAP_COST * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]]) == pytest.approx(best)
+        assert sorted(i for c in got for i in c) == list(range(11))
+
+
+def test_copies_of_a_text_have_one_passage(spark):
+    a, b = words(1, 120), words(2, 30) + " " + words(1, 120) + " " + words(3, 30)
+    rows = {(x["doc_id"], x["other_id"], x["start"], x["end"], x["n_equal"]) for x in sd.passages(frame(spark, [(5, a), (6, a), (6, a), (7, b), (8, b), (9, a + "\n"), (None, a)])).collect()}
+    assert {r for r in rows if r[0] != 9} == {(6, 5, 0, 120, 120), (7, 5, 30, 150, 120), (8, 7, 0, 180, 180)}
+    assert {r[1] for r in rows if r[0] == 9} == {5}
+
+
+def test_a_hot_seed_is_spread(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sightline.llm import common
+
+    left = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS v")
+    right = spark.range(3000).selectExpr("id AS k", "id * 2 AS w")
+    got = common.skew_join(left.union(left), right.where("k % 2 = 0"), ["k"], left.union(left).groupBy("k").agg(F.count("*").alias("n")))
+    want = sorted((k, v, 2 * k) for v in [*range(3000)] * 2 for k in [0 if v % 3 == 0 else v] if k % 2 == 0)
+    assert sorted(map(tuple, got.select("k", "v", "w").collect())) == want
 
 
 def test_empty_tables(spark, tmp_path):
