@@ -192,6 +192,25 @@ def test_edited_passages_are_found_around_any_seed(equal):
         assert max(f[4] for f in found) >= 0.93 * best[-1, -1]
 
 
+@pytest.mark.parametrize("vocabulary", [6, 20, 60])
+def test_the_bound_drops_no_passage(vocabulary, monkeypatch):
+    r = np.random.default_rng(vocabulary)
+    cases = []
+    for _ in range(60):
+        p = r.integers(0, vocabulary, 140)
+        q = p.copy()
+        q[r.random(140) < r.choice([0.1, 0.2, 0.3, 0.6])] = 999
+        q = np.concatenate([r.integers(0, vocabulary, 20), np.insert(np.delete(q, 30), 90, 5)])
+        seeds = [(x, y) for x in range(136) for y in range(x + 12, min(x + 28, 156)) if (p[x : x + 5] == q[y : y + 5]).all()]
+        if seeds:
+            x, y = seeds[int(r.integers(len(seeds)))]
+            later = [s for s in seeds if s[0] > x + 20 and s[1] > y + 20][:1]
+            cases.append((p, q, [x, *(s[0] for s in later)], [y, *(s[1] for s in later)]))
+    with_bound = [sd.similar(*c) for c in cases]
+    monkeypatch.setattr(sd, "possible", lambda *_: True)
+    assert with_bound == [sd.similar(*c) for c in cases] and any(with_bound)
+
+
 def test_extension_drops_no_exact_passage():
     r = np.random.default_rng(8)
     p = r.integers(0, 1 << 62, 180)
