@@ -6,6 +6,7 @@ Each fold sees one key's rows in order and keeps bounded state (tracks, a queue,
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -59,11 +60,12 @@ def box_iou(a, b) -> float:
 
 @dataclass
 class Tracker:
-    """Follows boxes of one camera: overlap or nearness pairs them, unpaired ones open tracks, missed tracks end."""
+    """Follows boxes of one camera: overlap or nearness of the centres pairs them, unpaired ones open tracks, missed tracks end."""
 
     max_misses: int = 18
     min_iou: float = 0.05
     reach: float = 120.0
+    overlap_weight: float = 0.7  # fixed value; nearness has the rest
     next_id: int = 1
     tracks: dict[int, dict] = field(default_factory=dict)
 
@@ -73,9 +75,10 @@ class Tracker:
         for tid, tr in self.tracks.items():
             for i, b in enumerate(boxes):
                 overlap = box_iou(tr["box"], b)
-                far = max(abs(tr["box"][k] + tr["box"][k + 2] - b[k] - b[k + 2]) / 2 for k in (0, 1))
+                far = math.dist(*((x[0] + x[2], x[1] + x[3]) for x in (tr["box"], b))) / 2
                 if overlap >= self.min_iou or far <= self.reach:
-                    scored.append((overlap + max(0.0, 1 - far / self.reach) * 0.5, tid, i))
+                    near = max(0.0, 1 - far / self.reach)
+                    scored.append((near + self.overlap_weight * (overlap - near), tid, i))
         owner = {i: tid for tid, i in greedy_match(scored)}
         for i, b in enumerate(boxes):
             if i not in owner:

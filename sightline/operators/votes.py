@@ -12,12 +12,13 @@ def counts(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def tally(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: top value, its votes, those of the second, and all votes. One shuffle by (key, value), one by key."""
+    """Per key: top value (of ties the smallest), its votes, those of the second, and all votes. Mergeable aggregates only: a key of any number of values takes no memory."""
     c = counts(df, key, value)
-    best = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), F.col(value).alias("v"))))
-    return c.groupBy(key).agg(best.alias("b"), F.sum("votes").alias("total")).select(
-        key, F.col("b")[0]["v"].alias("top"), (-F.col("b")[0]["n"]).alias("top_votes"), F.coalesce(-F.get("b", F.lit(1))["n"], F.lit(0)).alias("second_votes"), "total"
-    )
+    best = c.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col(value).alias("v"))).alias("b"), F.sum("votes").alias("total"))
+    others = c.join(best.select(F.col(key).alias("_key"), F.col("b.v").alias("_top")), F.col(key) == F.col("_key")).where(F.col(value) != F.col("_top"))
+    second = others.groupBy("_key").agg(F.max("votes").alias("_votes"))
+    both = best.join(second, F.col(key) == F.col("_key"), "left")
+    return both.select(key, F.col("b.v").alias("top"), (-F.col("b.n")).alias("top_votes"), F.coalesce("_votes", F.lit(0)).alias("second_votes"), "total")
 
 
 def winner(df: DataFrame, key: str, value: str, least: int = 2, margin: int = 1) -> DataFrame:

@@ -46,19 +46,14 @@ def change_points(df: DataFrame, key: str, order: list[str], value: str) -> Data
     return df.withColumn("before", F.lag(value).over(w)).where(F.col(value).isNotNull() & ~F.col(value).eqNullSafe(F.col("before")))
 
 
-def first_at_or_after(ticks: DataFrame, tick: str, rows: DataFrame, t: str, columns: list[str], bucket: int) -> DataFrame:
-    """Forward as-of: for each tick the first row at or after it. Sorted by range buckets, no pairs are made.
+def first_at_or_after(rows: DataFrame, t: str, columns: list[str], tick: int) -> DataFrame:
+    """Forward as-of: for each multiple of tick, from the one before the first row on, the first row at or after it (of ties the smallest first column).
 
-    Rows and ticks are ordered together; each tick takes the next row behind it within its bucket, and a tick that finds
-    none there takes the first row of the next bucket that has rows (one small row per bucket).
+    Rows are aggregated to the first one of each tick's interval, with partial sums before the shuffle; a tick without
+    rows of its own takes the next interval's. Only these few rows, one a tick, are ordered.
     """
-    both = ticks.select(F.col(tick).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.select(*columns).schema) + ">").alias("_row"))
-    both = both.unionByName(rows.select(F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.struct(*columns).alias("_row")))
-    both = both.withColumn("_b", F.floor(F.col("_t") / bucket))
-    ahead = Window.partitionBy("_b").orderBy("_t", "_kind", F.col("_row")[columns[0]]).rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("_next", F.first("_row", ignorenulls=True).over(ahead)).where("_kind = 0")
-    firsts = both.where("_kind = 1").groupBy("_b").agg(F.min(F.struct("_t", "_row")).alias("m")).select("_b", F.col("m._row").alias("_first"))
-    grid = near.select("_b").distinct().withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType)).unionByName(firsts).groupBy("_b").agg(F.first("_first", ignorenulls=True).alias("_first"))
-    later = grid.withColumn("_later", F.first("_first", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))).select("_b", "_later")
-    out = near.join(later, "_b", "left").withColumn("_hit", F.coalesce("_next", "_later"))
-    return out.where("_hit IS NOT NULL").select(F.col("_t").alias(tick), *(F.col(f"_hit.{c}").alias(c) for c in columns))
+    firsts = rows.groupBy(F.floor(F.col(t) / tick).alias("_n")).agg(F.min(F.struct(t, *columns)).alias("_row"))
+    ends = firsts.agg(F.min("_n").alias("a"), F.max("_n").alias("b")).where("a IS NOT NULL")
+    ticks = ends.select(F.explode(F.sequence("a", "b")).alias("_n")).join(firsts, "_n", "left")
+    found = F.first("_row", ignorenulls=True).over(Window.orderBy("_n").rowsBetween(0, Window.unboundedFollowing))
+    return ticks.withColumn("_hit", found).select((F.col("_n") * tick).alias("tick"), *(F.col(f"_hit.{c}").alias(c) for c in columns))

@@ -124,10 +124,7 @@ def tick_gap_fill(spark, d):
 
 
 def tick_sample_asof(spark, d):
-    e = events(spark, d)
-    ends = e.agg(F.floor(F.min("t") / H).alias("a"), F.floor(F.max("t") / H).alias("b"))
-    ticks = ends.select(F.explode(F.sequence("a", "b")).alias("n")).select((F.col("n") * H).alias("tick"))
-    return windows.first_at_or_after(ticks, "tick", e, "t", ["event_id", "value"], 24 * H)
+    return windows.first_at_or_after(events(spark, d), "t", ["event_id", "value"], H)
 
 
 def modulo_sample(spark, d):

@@ -62,14 +62,15 @@ j AS (SELECT r.o_orderkey, r.ply, r.start, r."end", f.start AS listed_start, f."
 
 
 def pair_score_theta_join(spark, d):
-    """Boxes of one order paired with its later lines where they overlap or lie within 15."""
+    """Boxes of one order paired with its later lines where they overlap or their centres lie within 15, scored by both."""
     b = _boxes(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "x0", "y0", "x1", "y1").distinct()
     o = b.select("l_orderkey", *(F.col(c).alias(f"o{c}") for c in ("l_partkey", "l_suppkey", "l_linenumber", "x0", "y0", "x1", "y1")))
     iou = G.iou(G.box(""), G.box("o"))
     (ax, ay), (bx, by) = G.centre(G.box("")), G.centre(G.box("o"))
-    far = F.greatest(F.abs(ax - bx), F.abs(ay - by))
-    j = b.join(o, "l_orderkey").where(F.col("l_linenumber") < F.col("ol_linenumber")).withColumn("iou", F.round(iou, 6)).where((F.col("iou") >= 0.05) | (far <= 15))
-    return j.select("l_orderkey", "l_partkey", "l_suppkey", "ol_partkey", "ol_suppkey", "l_linenumber", "ol_linenumber", "iou")
+    far = F.hypot(ax - bx, ay - by)
+    score = F.round(F.lit(0.7) * iou + F.lit(0.3) * (1 - F.least(far / 15, F.lit(1.0))), 6)
+    j = b.join(o, "l_orderkey").where(F.col("l_linenumber") < F.col("ol_linenumber")).withColumn("score", score).withColumn("iou", F.round(iou, 6)).where((F.col("iou") >= 0.05) | (far <= 15))
+    return j.select("l_orderkey", "l_partkey", "l_suppkey", "ol_partkey", "ol_suppkey", "l_linenumber", "ol_linenumber", "iou", "score")
 
 
 def unmatched_anti(spark, d):
@@ -201,12 +202,13 @@ SQL = {
     "reconcile_left_join": f"WITH {_RECONCILE_SQL} SELECT * FROM j",
     "verdict_histogram": f"WITH {_RECONCILE_SQL} SELECT verdict, count(*) AS n, CASE verdict WHEN 'exact' THEN 1 WHEN 'values_differ' THEN 2 WHEN 'ply_absent' THEN 3 ELSE 4 END AS place FROM j GROUP BY 1",
     "pair_score_theta_join": f"""WITH b AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(f'{v} AS {k}' for k, v in BOX.items())} FROM lineitem),
- j AS (SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, o.l_partkey AS ol_partkey, o.l_suppkey AS ol_suppkey, a.l_linenumber, o.l_linenumber AS ol_linenumber, round({_IOU.format(a='a.', b='o.')}, 6) AS iou, greatest(abs((a.x0 + a.x1) / 2 - (o.x0 + o.x1) / 2), abs((a.y0 + a.y1) / 2 - (o.y0 + o.y1) / 2)) AS far FROM b a JOIN b o ON a.l_orderkey = o.l_orderkey AND a.l_linenumber < o.l_linenumber)
- SELECT * EXCLUDE (far) FROM j WHERE iou >= 0.05 OR far <= 15""",
+ j AS (SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, o.l_partkey AS ol_partkey, o.l_suppkey AS ol_suppkey, a.l_linenumber, o.l_linenumber AS ol_linenumber, round({_IOU.format(a='a.', b='o.')}, 6) AS iou, {_IOU.format(a='a.', b='o.')} AS whole, sqrt(pow((a.x0 + a.x1) / 2 - (o.x0 + o.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (o.y0 + o.y1) / 2, 2)) AS far FROM b a JOIN b o ON a.l_orderkey = o.l_orderkey AND a.l_linenumber < o.l_linenumber)
+ SELECT * EXCLUDE (far, whole), round(0.7 * whole + 0.3 * (1 - least(far / 15, 1.0)), 6)::DOUBLE AS score FROM j WHERE iou >= 0.05 OR far <= 15""",
     "unmatched_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE value > 100 AND user_id = c_custkey)",
     "late_result_inner": f"{E}, a AS (SELECT user_id, min(t) + {72 * H} AS until FROM e GROUP BY 1) SELECT event_id FROM e JOIN a USING (user_id) WHERE t <= until",
     "superseded_anti": "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)",
     "interval_link_join": f"{E} SELECT a.event_id, b.event_id AS other_event_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.t BETWEEN a.t - {6 * H} AND a.t QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.t, b.event_id) = 1",
+    "rekey_migrate": "WITH RECURSIVE up AS (SELECT c_custkey AS node, c_custkey AS place FROM customer UNION ALL SELECT node, place - 1 FROM up WHERE place % 5 <> 0) SELECT node, min(place) AS root FROM up GROUP BY 1",
     "entity_by_key": f"{E} SELECT concat('ROLL-', user_id % 40) AS code, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT event_type) AS cameras FROM e GROUP BY 1",
     "clipped_share": f"{_V} SELECT vec_id, round(len(list_filter(v, lambda x: x >= 0.1)) / len(v), 6) AS share FROM v",
     "laplacian_var": f"{_V}, l AS (SELECT vec_id, list_transform(range(2, len(v)), lambda i: v[i - 1] - 2 * v[i] + v[i + 1]) AS l FROM v) SELECT vec_id, round(list_aggregate(l, 'var_pop'), 6) AS variance FROM l",

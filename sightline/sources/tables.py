@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,19 @@ MASTER_COLUMNS = ["ply_no", "start", "end", "length_m", "no_of_ply", "item_numbe
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|bmp|tif|tiff|webp)$"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share and read again, so that lost executors cost no recomputation. Only a local session without spark.checkpoint.dir, as in tests, uses a folder of this machine."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sightline-")
+    path = f"{folder.rstrip('/')}/sightline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
