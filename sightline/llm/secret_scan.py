@@ -2,8 +2,8 @@
 
 Candidates are the base patterns (assign, access, hex) and, beyond them, long mixed tokens (generic). Each candidate
 value is hashed and the hashes are counted by distinct repositories (documents) and distinct owners (sources) over the
-whole corpus. A value held by more than MAX_OWNERS owners is a widely copied example; one held by few is a
-live-looking credential. Base spans always stay and get their class; generic spans are added only where the ownership
+whole corpus. A value held by more than MAX_OWNERS owners, or by more than MAX_REPOSITORIES repositories for each of its
+owners, is a widely copied example; one held by few of both is a live-looking credential. Base spans always stay and get their class; generic spans are added only where the ownership
 says live.
 
 Defined results: a null text counts as empty; a null owner counts as an owner of its own name ""; repeated rows each
@@ -25,7 +25,7 @@ HEX = r"[0-9a-f]{16,}"
 GENERIC = r"[A-Za-z0-9_+/-]{24,}"
 ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "generic"]
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 8
 #: A generic token needs this many digits, letters and distinct characters.
 DIGITS, LETTERS, DISTINCT = 4, 4, 10
 
@@ -72,14 +72,14 @@ def ownership(values: DataFrame, id_col: str) -> DataFrame:
     return values.groupBy("value_hash").agg(F.count_distinct(id_col).alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Of every row of df: id_col, base (array of struct start, kind, end), added (the same, generic and live), n_live and n_copied base spans."""
     rows = written(candidates(df, id_col, text_col, owner_col))
     free = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
     each = rows.where((F.size("base") > 0) | (F.size("generic") > 0)).select("row", id_col, "owner", F.explode(F.concat("base", free)).alias("s"))
     each = each.select("row", id_col, "owner", F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash"))
     classed = each.join(ownership(each, id_col), "value_hash", "left")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= F.lit(max_repositories) * F.col("owners"))
     is_base = F.col("kind") < KINDS.index("generic")
     per_row = classed.where(is_base | live).groupBy("row").agg(
         F.count_if(is_base & live).alias("n_live"),

@@ -51,6 +51,25 @@ def test_ownership_tells_copies_from_live(spark):
     assert out[0] == (0, 1) and out[30] == (1, 0)
 
 
+def test_both_frequencies_decide_by_brute_force(spark):
+    generic = [f"Zq{i}x9Y8w7V6u5T4s3R2q1P0oNm{i}kJ" for i in range(4)]
+    texts, at = {}, 0
+    for value, many, owners in (("password=" + "onceonly12345", 1, 1), ("password=" + "manyhere12345", 12, 1), ("password=" + "threeown12345", 3, 3), (generic[0], 2, 1), (generic[1], 9, 1), (generic[2], 16, 2), (generic[3], 17, 2)):
+        for k in range(many):
+            texts[at] = (f"use {value} now", f"o{k % owners}")
+            at += 1
+    df = spark.createDataFrame([(i, t, o) for i, (t, o) in texts.items()], "doc_id long, text string, source string")
+    held = {}
+    for i, (t, o) in texts.items():
+        held.setdefault(t, []).append((i, o))
+    for r in ss.scan(df).collect():
+        t = texts[r["doc_id"]][0]
+        owners, repositories = len({o for _, o in held[t]}), len({i for i, _ in held[t]})
+        live = owners <= 2 and repositories <= 8 * owners
+        base = "password" in t
+        assert (r["n_live"], r["n_copied"], len(r["added"])) == ((int(live), int(not live), 0) if base else (0, 0, int(live))), t
+
+
 def test_leaks(spark):
     item = "A train leaves Boston at 9 with 120 passengers and Mary counts 45 km of rails before the next stop near town"
     other = item.replace("Boston", "Paris").replace("120", "300").replace("Mary", "Peter").replace("45", "60").replace(" 9 ", " 7 ")
