@@ -5,7 +5,11 @@ words are lower-cased. Windows of WINDOW tokens with at least LITERALS words are
 hash-joined with those of the benchmark. Joined windows on one diagonal (document position minus item position) form
 runs; a run leaks an item if it spans RUN tokens or the whole item, and if its slots are consistent: each benchmark value
 always meets the same document value and the other way round, type by type. Verbatim copies are the identity case;
-re-parameterised questions have other values.
+re-parameterised questions have other values. In an inconsistent run a stretch of that length with equal slots leaks too,
+so a copy with one altered value is found.
+
+Beside its template every window is also hashed as its lower-cased tokens. Such windows fill the runs where a template
+can't: where numbers and names leave fewer than LITERALS words, and where a copy has other capitals.
 
 Before the join, a bit map of fixed size (BITS) of the benchmark's window hashes, sent with the tasks, drops document
 windows that can't join. Its size doesn't grow with the benchmark; where it fills up it only drops less.
@@ -22,7 +26,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, map_rows, sized, written
@@ -63,11 +67,11 @@ class Templates:
         self.kinds.append(token_kind(token))
         return at
 
-    def windows(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, kinds, hashes of the windows by first token, and which windows have enough words."""
+    def windows(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens and kinds; by first token the hashes of the windows' templates and of their lower-cased tokens, and which windows have enough words."""
         tokens = _tokens(text)
         if len(tokens) < WINDOW:
-            return tokens, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return tokens, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         known, pairs = self.known, []
         for t in tokens:
             at = known.get(t)
@@ -77,33 +81,44 @@ class Templates:
         values = np.array([p[0] for p in pairs], np.uint64)
         kinds = np.array([p[1] for p in pairs], np.int8)
         kinds[(kinds == UNIT) & ~np.concatenate([[False], kinds[:-1] == NUMBER])] = LITERAL
-        values = np.where(kinds == LITERAL, values, self.slot[kinds])
+        slots = np.where(kinds == LITERAL, values, self.slot[kinds])
         n = len(tokens) - WINDOW + 1
-        h, literals = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for j in range(WINDOW):
-            h = h * _BASE + values[j : j + n]
-            literals += kinds[j : j + n] == LITERAL
-        h ^= h >> np.uint64(31)
-        return tokens, kinds, h * np.uint64(0xD6E8FEB86659FD93), literals >= LITERALS
+        words = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+        return tokens, kinds, _rolled(slots, n, 0), _rolled(values, n, 1), words[WINDOW:] - words[:-WINDOW] >= LITERALS
+
+
+def _rolled(values: np.ndarray, n: int, seed: int) -> np.ndarray:
+    h = np.full(n, seed, np.uint64)
+    for j in range(WINDOW):
+        h = h * _BASE + values[j : j + n]
+    h ^= h >> np.uint64(31)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _let_through(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = (h >> np.uint64(40)) % np.uint64(BITS)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _rows_of(texts, bitmap: np.ndarray | None):
-    """(key, version, position, hash, slots, tokens) of each window that the bit map lets through."""
+    """(key, version, position, hash, slots, tokens) of each window that the bit map lets through; windows of plain tokens have null slots."""
     t = Templates()
     for key, text in texts:
         if not text:
             continue
-        tokens, kinds, h, ok = t.windows(text)
-        if bitmap is not None and len(h):
-            bit = (h >> np.uint64(40)) % np.uint64(BITS)
-            ok = ok & (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        if not ok.any():
+        tokens, kinds, h, plain, ok = t.windows(text)
+        same = np.ones(len(plain), bool)
+        if bitmap is not None:
+            ok, same = ok & _let_through(h, bitmap), _let_through(plain, bitmap)
+        if not (ok.any() or same.any()):
             continue
         version = xxhash.xxh64_intdigest(text, 42)
         version -= version >> 63 << 64
         for at in np.flatnonzero(ok).tolist():
             slots = [f"{kinds[i]}:{tokens[i].lower()}" for i in range(at, at + WINDOW) if kinds[i] != LITERAL]
             yield key, version, at, int(h[at].view(np.int64)), slots, len(tokens)
+        for at in np.flatnonzero(same).tolist():
+            yield key, version, at, int(plain[at].view(np.int64)), None, len(tokens)
 
 
 _SCHEMA = "id bigint, version bigint, at int, hash bigint, slots array<string>, tokens int"
@@ -124,19 +139,28 @@ def _runs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     found = map_rows(docs.where(F.col(text_col).isNotNull()), [id_col, text_col], _SCHEMA, lambda rows: _rows_of(rows, shared.value))
     item = items.select("hash", F.col("id").alias("item"), F.col("version").alias("item_version"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
-    joined = found.select("hash", "id", "version", "at", "slots").join(item, "hash")
-    lane = ["id", "version", "item", "item_version", (F.col("at") - F.col("item_at")).alias("diagonal")]
+    joined = found.select("hash", "id", "version", "at", "slots").join(item, "hash").where(F.col("slots").isNull() == F.col("item_slots").isNull())
     names = ["id", "version", "item", "item_version", "diagonal"]
-    placed = joined.select(*lane, "item_at", "item_tokens", "slots", "item_slots").dropDuplicates([*names, "item_at"])
+    pairs = F.coalesce(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.array().cast("array<struct<a:string,b:string>>"))
+    placed = joined.withColumn("diagonal", F.col("at") - F.col("item_at")).groupBy(*names, "item_at").agg(F.first("item_tokens").alias("item_tokens"), F.max(pairs).alias("pairs"))
     island = F.col("item_at") - F.row_number().over(Window.partitionBy(*names).orderBy("item_at"))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))))
-    runs = placed.withColumn("island", island).groupBy(*names, "island").agg(F.count("*").alias("n"), F.first("item_tokens").alias("item_tokens"), pairs.alias("pairs"))
-    side = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f])))
-    consistent = (side("a") == F.size("pairs")) & (side("b") == F.size("pairs"))
-    length = F.col("n") + WINDOW - 1
-    kept = runs.where((length >= F.least(F.lit(RUN), "item_tokens")) & consistent)
-    exact = F.forall("pairs", lambda p: p["a"] == p["b"])
-    return kept.select("id", "version", "item", length.cast("long").alias("n_tokens"), exact.alias("exact"))
+    ordered = F.array_sort(F.collect_list(F.struct("item_at", "pairs")))
+    runs = placed.withColumn("island", island).groupBy(*names, "island").agg(F.count("*").alias("n"), F.first("item_tokens").alias("item_tokens"), ordered.alias("windows"))
+    least = F.least(F.lit(RUN), "item_tokens") - (WINDOW - 1)
+    runs = runs.where(F.col("n") >= least).withColumn("slots", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
+    side = lambda f: F.size(F.array_distinct(F.transform("slots", lambda p: p[f])))
+    consistent = (side("a") == F.size("slots")) & (side("b") == F.size("slots"))
+    equal = lambda pairs: F.forall(pairs, lambda p: p["a"] == p["b"])
+    longest = F.when(consistent, F.col("n")).otherwise(_longest(F.transform("windows", lambda w: equal(w["pairs"]))))
+    kept = runs.select("id", "version", "item", longest.alias("n"), (~consistent | equal(F.col("slots"))).alias("exact"), least.alias("least"))
+    return kept.where("n >= least").select("id", "version", "item", (F.col("n") + WINDOW - 1).cast("long").alias("n_tokens"), "exact")
+
+
+def _longest(flags: Column) -> Column:
+    """The most successive true ones of an array."""
+    step = lambda acc, flag: F.struct(F.when(flag, acc["now"] + 1).otherwise(F.lit(0).cast("long")).alias("now"), F.greatest(acc["best"], F.when(flag, acc["now"] + 1).otherwise(F.lit(0).cast("long"))).alias("best"))
+    none = F.lit(0).cast("long")
+    return F.aggregate(flags, F.struct(none.alias("now"), none.alias("best")), step, lambda acc: acc["best"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -85,6 +85,63 @@ def test_leaks(spark):
     assert left.columns == df.columns and {300, 301, 303}.isdisjoint(r["doc_id"] for r in left.collect())
 
 
+def test_leaks_with_capitals_numbers_and_one_altered_value(spark):
+    dense = "Add 12 and 7 and 12 and 9 minus 4 times 3 plus 15 over 5 less 12 and 8 more"
+    prose = "The old mill of Dorfheim grinds 5 sacks a day while the new mill by the river needs 5 men and grinds far more sacks"
+    bench = spark.createDataFrame([(1, dense), (2, prose)], "item_id long, text string")
+    texts = {
+        10: prose.lower(), 11: prose.upper(), 12: dense, 13: prose.replace("needs 5", "needs 6"), 14: dense.replace("12", "13"),
+        15: " ".join(w for w in prose.split()[:9]), 16: prose.replace("sacks", "bags").replace("new", "own"), 17: words(5, 200),
+    }
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["exact"]) for r in dc.leaks(frame(spark, texts), bench).collect()}
+    assert {k: exact for k, (_, exact) in got.items()} == {(10, 2): True, (11, 2): True, (12, 1): True, (13, 2): True, (14, 1): False}
+    assert got[12, 1] == (len(dense.split()), True) and got[10, 2][0] == len(prose.split())
+    assert got[13, 2][0] == prose.replace("needs 5", "needs #").split().index("#")  # up to the altered value
+
+
+def leaks_by_brute_force(docs, items):
+    """All pairs of texts, all diagonals, windows compared one by one."""
+    found = set()
+    t = dc.Templates()
+    for d, text in docs.items():
+        dt, dk, dh, dp, dok = t.windows(text)
+        for i, item in items.items():
+            it, ik, ih, ip, iok = t.windows(item)
+            for diagonal in range(-len(it), len(dt)):
+                run = []
+                for at in range(len(it) + 1):
+                    there = at + diagonal
+                    inside = at < len(ih) and 0 <= there < len(dh)
+                    templates = inside and iok[at] and dok[there] and ih[at] == dh[there]
+                    if templates or inside and [x.lower() for x in it[at : at + 8]] == [x.lower() for x in dt[there : there + 8]]:
+                        run.append([(f"{ik[at + j]}:{it[at + j].lower()}", f"{dk[there + j]}:{dt[there + j].lower()}") for j in range(8) if ik[at + j] != dc.LITERAL] if templates else [])
+                        continue
+                    pairs = {p for w in run for p in w}
+                    whole = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+                    streak = max((len(s) for s in "".join("x" if all(a == b for a, b in w) else " " for w in run).split()), default=0)
+                    n = len(run) if whole else streak
+                    if n and n + 7 >= min(13, len(it)):
+                        found.add((d, i))
+                    run = []
+    return found
+
+
+def test_leaks_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [*"the a of and to in is for on with".split(), "Rome", "Anna", "Bern", "4", "5", "17", "km", "kg"]
+    some = lambda n: [vocabulary[k] for k in rng.integers(0, len(vocabulary), n)]
+    items = {i: some(int(rng.integers(6, 40))) for i in range(12)}
+    docs = {}
+    for d in range(60):
+        part = list(items[d % 12])
+        for _ in range(d % 4):
+            part[int(rng.integers(0, len(part)))] = vocabulary[int(rng.integers(0, len(vocabulary)))]
+        docs[d] = " ".join(some(20) + part[d % 3 :] + some(20))
+    items = {i: " ".join(x) for i, x in items.items()}
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(frame(spark, docs), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()}
+    assert got == leaks_by_brute_force(docs, items) and len(got) > 20
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER)), "\n"]
 
