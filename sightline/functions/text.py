@@ -100,3 +100,23 @@ def format_reading(code: Column, start: Column, end: Column) -> Column:
     known = lambda c: c.isNotNull() & (c != "")
     pair = F.when(known(start) & known(end), F.concat(start, F.lit("-"), end)).otherwise("?")
     return F.concat(F.lit("ply "), F.when(known(code), code).otherwise("?"), F.lit("   "), pair)
+
+
+def span(start: Column, end: Column) -> Column:
+    """End less start, of three places; null unless both are numbers."""
+    return F.round(end.try_cast("double") - start.try_cast("double"), 3)
+
+
+def status(provisional: Column, code: Column) -> Column:
+    return F.when(provisional, "pending").when(F.coalesce(code, F.lit("")) != "", "read").otherwise("partial")
+
+
+def label(name: Column) -> Column:
+    """Letters, digits, - and _ of a name, 24 of them at most."""
+    return F.left(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", ""), F.lit(24))
+
+
+def run_name(at: Column, labels: Column) -> Column:
+    """A folder name of a time and an array of labels."""
+    joined = F.array_join(labels, "+")
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("_"), F.when(joined == "", "run").otherwise(joined))

@@ -21,10 +21,11 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
         held: list[tuple] = []
         for key, group in groupby(rows, key=lambda r: r[:k]):
-            held.extend(fold(key, (r[k:] for r in group)))
-            if len(held) >= 4000:
-                yield _batch(held, target)
-                held = []
+            for out in fold(key, (r[k:] for r in group)):
+                held.append(out)
+                if len(held) >= 4000:
+                    yield _batch(held, target)
+                    held = []
         if held:
             yield _batch(held, target)
 

@@ -12,6 +12,14 @@ def trailing_extent(df: DataFrame, key: str, t: str, value: str, span: int, tie:
     return df.withColumn("extent", F.max(value).over(w) - F.min(value).over(w))
 
 
+def displacement(df: DataFrame, key: str, order: list[str], t: str, x: str, y: str, span: int, most: int = 120) -> DataFrame:
+    """moved: the larger of the extents in x and y over the last most rows that are no older than span; one point gives 0."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - most, 0)
+    recent = F.filter(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))).over(w), lambda p: p["t"] >= F.col(t) - span)
+    extent = lambda f: F.array_max(F.transform(recent, lambda p: p[f])) - F.array_min(F.transform(recent, lambda p: p[f]))
+    return df.withColumn("moved", F.greatest(extent("x"), extent("y")))
+
+
 def islands(df: DataFrame, key: str, order: list[str], t: str, gap: int) -> DataFrame:
     """island (from 1): a new one starts where t is more than gap after the row before."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -57,3 +65,21 @@ def first_at_or_after(rows: DataFrame, t: str, columns: list[str], tick: int) ->
     ticks = ends.select(F.explode(F.sequence("a", "b")).alias("_n")).join(firsts, "_n", "left")
     found = F.first("_row", ignorenulls=True).over(Window.orderBy("_n").rowsBetween(0, Window.unboundedFollowing))
     return ticks.withColumn("_hit", found).select((F.col("_n") * tick).alias("tick"), *(F.col(f"_hit.{c}").alias(c) for c in columns))
+
+
+def each_once_at_or_after(rows: DataFrame, key: str, order: list[str], t: str, tick: int) -> DataFrame:
+    """Forward as-of that takes no row twice: per key, tick after tick (n, from that of the first row on) the first row not
+    taken yet that is at or after the tick, as long as there is one. key, n and the columns of rows.
+
+    The n-th tick takes the row after the one taken before, or the first one due if that is later: place n + the largest of
+    (place due - n) so far, a running maximum over ticks. Only ticks that have rows of their own change what is due.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    placed = rows.withColumn("_place", F.row_number().over(w)).withColumn("_n", F.floor(F.col(t) / tick))
+    due = placed.groupBy(key, "_n").agg(F.min("_place").alias("_due"))  # ticks without a row of their own take the next one's
+    by_tick = Window.partitionBy(key).orderBy("_n")
+    low = F.coalesce(F.lag("_n").over(by_tick) + 1, F.col("_n"))
+    ticks = due.select(key, "_due", low.alias("_low"), "_n").select(key, "_due", F.explode(F.sequence("_low", "_n")).alias("_tick"))
+    lead = F.max(F.col("_due") - F.col("_tick")).over(Window.partitionBy(key).orderBy("_tick"))
+    taken = ticks.select(F.col(key).alias("_key"), F.col("_tick").alias("n"), (F.col("_tick") + lead).alias("_at"))
+    return taken.join(placed, (taken["_key"] == placed[key]) & (taken["_at"] == placed["_place"])).select("n", *rows.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import tee
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -144,17 +146,15 @@ def eligibility_gate(spark, d):
 
 def min_interval_throttle(spark, d):
     def fold(key, rows):
-        rows = list(rows)
-        ok, _ = state.throttle((t for t, _ in rows), 24 * H)
-        return [(key[0], event) for (_, event), keep in zip(rows, ok, strict=True) if keep]
+        return ((key[0], event) for _, event in state.throttled(rows, 24 * H))
 
     return fold_groups(events(spark, d), ["user_id"], ["t", "event_id"], [], fold, "user_id long, event_id long")
 
 
 def bounded_queue_drop(spark, d):
     def fold(_, rows):
-        rows = list(rows)
-        return zip((event for _, event in rows), state.bounded_queue((t for t, _ in rows), 4, 18 * H), strict=True)
+        ids, times = tee(rows)
+        return zip((event for _, event in ids), state.bounded_queue((t for t, _ in times), 4, 18 * H), strict=True)
 
     return fold_groups(events(spark, d), ["user_id"], ["t", "event_id"], [], fold, "event_id long, accepted boolean")
 

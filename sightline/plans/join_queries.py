@@ -155,17 +155,22 @@ def tracker_fold(spark, d):
 
 
 def identity_fold(spark, d):
-    """Entities of each site (event_type): the state is one site's, folded in time order."""
+    """Entities of each site (ten neighbouring users, their tracks over two cameras): the state is one site's, folded in time order; a camera's track ends after every seventh row."""
     def fold(_, rows):
         r = state.Registry()
         for t, event, u, v in rows:
-            now, camera = t / H, f"cam{u % 2}"
-            r.sight(camera, u, v < 40, now)
-            code = str(10 + u % 60) if event % 3 else None
-            yield event, r.confirm(camera, u, code, (f"{v:.1f}", f"{u % 50}.5"), 1.0, now) if v > 20 else r.owner[camera, u]
+            now, camera = t / H, f"cam{event % 2}"
+            name = r.sight(camera, u, v < 40, now)
+            if v > 20:
+                code = str(10 + u % 60) if event % 3 == 0 else None
+                name = r.confirm(camera, u, code, (f"{v:.1f}", f"{u % 50}.5"), 1.0, now, v < 40)
+            if event % 7 == 0:
+                r.release(camera, u)
             r.cleanup(now)
+            yield event, name
 
-    return fold_groups(events(spark, d), ["event_type"], ["t", "event_id"], ["user_id", "value"], fold, "event_id long, entity string")
+    rows = events(spark, d).withColumn("site", F.floor(F.col("user_id") / 10))
+    return fold_groups(rows, ["site"], ["t", "event_id"], ["user_id", "value"], fold, "event_id long, entity string")
 
 
 def sequence_ratio(spark, d):

@@ -60,3 +60,14 @@ def is_image(path: Column) -> Column:
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """path and content of the image files below root; empty files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.where(is_image(F.col("path")) & (F.col("length") > 0)).select("path", "content")
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A report as CSV with a header, its columns in this order, missing values empty. Files in the folder follow one another in order."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns).write.mode("overwrite").csv(path, header=True, emptyValue="", encoding="UTF-8")

@@ -78,7 +78,7 @@ def test_forgetting():
 
 def test_folds():
     assert throttle([1_000_000, 1_400_000, 1_450_000], 450_000)[0] == [True, False, True]
-    assert bounded_queue([0, 0, 0, 10], 2, 10) == [True, True, False, True]
+    assert list(bounded_queue([0, 0, 0, 10], 2, 10)) == [True, True, False, True]
     assert greedy_match([(0.5, 1, 1), (0.5, 2, 1), (0.4, 1, 2)]) == [(2, 1), (1, 2)]
     assert similarity("54.7", "") == 0.0 and similarity("54792", "547921") == pytest.approx(10 / 11)
     t = Tracker()
