@@ -13,11 +13,15 @@ def trailing_extent(df: DataFrame, key: str, t: str, value: str, span: int, tie:
 
 
 def displacement(df: DataFrame, key: str, order: list[str], t: str, x: str, y: str, span: int, most: int = 120) -> DataFrame:
-    """moved: the larger of the extents in x and y over the last most rows that are no older than span; one point gives 0."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - most, 0)
-    recent = F.filter(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))).over(w), lambda p: p["t"] >= F.col(t) - span)
-    extent = lambda f: F.array_max(F.transform(recent, lambda p: p[f])) - F.array_min(F.transform(recent, lambda p: p[f]))
-    return df.withColumn("moved", F.greatest(extent("x"), extent("y")))
+    """moved: the larger of the extents in x and y over the last most rows that are no older than span; one point gives 0.
+
+    Of the two frames, by rows and by time, one lies in the other, so an extent is the smaller of theirs. Rows of equal
+    time are seen together.
+    """
+    by_rows = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - most, 0)
+    by_time = Window.partitionBy(key).orderBy(t).rangeBetween(-span, 0)
+    extent = lambda c: F.least(*(F.max(c).over(w) - F.min(c).over(w) for w in (by_rows, by_time)))
+    return df.withColumn("moved", F.greatest(extent(x), extent(y)))
 
 
 def islands(df: DataFrame, key: str, order: list[str], t: str, gap: int) -> DataFrame:
