@@ -67,6 +67,7 @@ def red_ink_mask(image: np.ndarray) -> np.ndarray:
     r, g, b = (rgb[..., i] for i in range(3))
     hue = np.where(top == r, (30 * (g - b) / span) % 180, np.where(top == g, 60 + 30 * (b - r) / span, 120 + 30 * (r - g) / span))
     sat = np.where(top > 0, 255 * (top - low) / np.maximum(top, 1), 0)
+    # The hues, saturations, brightness and lead of red ink.
     pink = (hue >= 158) & (sat >= 32) & (top >= 100)
     red = (hue <= 6) & (sat >= 90) & (top >= 100)
     return (pink | red) & (r - np.maximum(g, b) > 12)

@@ -17,6 +17,7 @@ def texts(spark, values):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
 
 
+#: Readings whose split must be this one, codes, look-alikes (section 5 of FIXTURES.md, in its order).
 @pytest.mark.parametrize(
     ("text", "want"),
     [("48.3.65.433", ("48.3", "65.433")), ("28.4.48.5", ("28.4", "48.5")), ("30.8.42.6", ("30.8", "42.6")), ("45.65.433", ("45", "65.433")), ("4.3.17.8", ("4.3", "17.8")), ("54.7-9.2", ("54.7", "9.2")), ("14.7-66.56", ("14.7", "66.56")), ("9.123-22.12", ("9.123", "22.12")), ("", None), ("abc", None), ("7", None), (None, None)],
@@ -27,6 +28,7 @@ def test_pairs(spark, text, want):
 
 
 def test_codes_and_normalising(spark):
+    #: Fixed values, as above.
     codes = ["88", "7841", "102", "8", "12345", "", "088"]
     assert [r[0] for r in texts(spark, codes).orderBy("i").select(X.parse_code(F.col("text"))).collect()] == ["88", "7841", "102", None, None, None, "88"]
     raw = ["4S.3", "1O.2", "48·3·65·433"]
@@ -42,6 +44,7 @@ def confirm(r, camera, track, code, start, end, now):
     return r.confirm(camera, track, code, (start, end) if start else None, 1.0, now)
 
 
+#: Readings and times of the identity cases, down to test_forgetting (FIXTURES.md, rows I1 to I19).
 def test_same_code_on_two_cameras():
     r = Registry()
     assert confirm(r, "c1", 1, "88", "1.0", "2.0", 10) == confirm(r, "c2", 1, "88", "1.0", "2.0", 10.4) == "ROLL-88"
