@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, lm_scoring, packing, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
+from . import decontamination, lexical_search, line_dedup, lm_scoring, packing, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, t, len(t)::BIGINT AS n FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents WHERE text IS NOT NULL) WHERE len(t) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM d
+), tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, totals GROUP BY term, nn
+), q AS (
+  SELECT DISTINCT i, item_id, term FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL)
+), s AS (
+  SELECT i, item_id, doc_id, d.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d ON d.r = tf.r, totals GROUP BY i, item_id, doc_id, d.r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, closing=2)
@@ -110,9 +139,10 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_secret_scan": op9_secret_scan,
         "op10_toxicity": op10_toxicity,
+        "op12_ranked_lexical_search": op12_ranked_lexical_search,
         "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k_search": OP2_SQL}
+    return {"op2_top_k_search": OP2_SQL, "op12_ranked_lexical_search": OP12_SQL}
