@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lexical_search, line_dedup, lm_scoring, packing, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
+from . import conversation_repair, decontamination, lexical_search, line_dedup, lm_scoring, packing, secret_scan, sentence_pieces, simhash, substring_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,59 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and hash of the repaired text of every conversation, after damage by a hash."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))) % 20 AS code
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE code <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS c,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faulty GROUP BY conv_id
+), inserts(a, b, cost, audit, added) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+    (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])
+), edits AS (
+  SELECT conv_id, i, s.a, s.a AS b, 4 AS cost, 'D' AS audit, [] AS added FROM faulty, (VALUES (0), (1), (2), (3)) s(a)
+  UNION ALL
+  SELECT conv_id, i, k.a, k.b, CASE WHEN fault = '' THEN 0 ELSE 3 END, 'K', [role || ':' || text] FROM faulty JOIN (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) k(c, a, b) USING (c) WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, i, k.a, k.b, CASE WHEN fault = '' THEN 3 ELSE 6 END, 'R', [k.name || ':' || text] FROM faulty, (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')) k(a, b, name) WHERE fault IN ('', 'truncated')
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, b AS state, inserts.cost::BIGINT AS cost, audit, added::VARCHAR[] AS lines FROM counts, inserts WHERE a = 0
+  UNION ALL
+  SELECT conv_id, i, state, best['cost'], best['audit'], best['lines'] FROM (
+    SELECT w.conv_id, e.i, n.b AS state, min(struct_pack("cost" := w.cost + e.cost + n.cost, "audit" := w.audit || e.audit || n.audit, "lines" := w.lines || e.added::VARCHAR[] || n.added::VARCHAR[])) AS best
+    FROM walk w JOIN edits e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = w.i + 1 AND e.a = w.state JOIN inserts n ON n.a = e.b GROUP BY w.conv_id, e.i, n.b)
+), ended AS (
+  SELECT w.conv_id, min(struct_pack("cost" := w.cost, "audit" := w.audit, "lines" := w.lines)) AS best FROM walk w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n WHERE w.state IN (0, 3) GROUP BY w.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best['cost'], 0) AS cost, coalesce(best['audit'], '') AS audit, sha256(coalesce(array_to_string(best['lines'], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest-scoring documents of every benchmark item."""
     return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
@@ -139,10 +192,11 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_secret_scan": op9_secret_scan,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_ranked_lexical_search": op12_ranked_lexical_search,
         "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k_search": OP2_SQL, "op12_ranked_lexical_search": OP12_SQL}
+    return {"op2_top_k_search": OP2_SQL, "op11_conversation_repair": OP11_SQL, "op12_ranked_lexical_search": OP12_SQL}
