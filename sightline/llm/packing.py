@@ -46,6 +46,7 @@ SLICE = 1 << 20
 
 #: The bit of an id that marks a sentence's end; above any id.
 STOP = 1 << 31
+_MARKS = b".,;:!?"
 _SPACE = frozenset(b" \t\n\v\f\r")
 _STOPS = tuple(s.encode() for s in (".", "!", "?", "。", "！", "？", '."', '!"', '?"', ".)", "!)", "?)", ".”", "!”", "?”"))
 
@@ -61,33 +62,50 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
         if not self.separable():
             raise ValueError("this tokenizer's ids depend on white space: its words can't be encoded one by one")
 
     def separable(self) -> bool:
-        """Whether white space neither has tokens nor changes those of the words around it, on probes of each kind of word."""
+        """Whether white space neither has tokens nor changes those of the words around it, case is dropped, and marks after a letter or digit stand alone; on probes of each kind of word."""
         words = ["Ab", "cd", "'s", "12", "x.", "É", "日本", "<|endoftext|>", "!!", "ﬁ", "é"]
         alone = [self._ids(w) for w in words]
-        return all(self._ids(gap.join(words)) == [i for w in alone for i in w] for gap in (" ", "\n", " \t\r\n"))
+        marked = all(self._ids(w + m) == self._ids(w.lower()) + self._ids(m) for w in ("Ab", "X1", "don't", "éA") for m in (".", "?!", ",", ".;:"))
+        return marked and all(self._ids(gap.join(words)) == [i for w in alone for i in w] for gap in (" ", "\n", " \t\r\n"))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words; the last id of a word that ends a sentence carries STOP."""
-        order = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
-        fresh = {}
-        for w, e in zip(order, found, strict=True):
-            ids = e.ids
-            if ids and w.endswith(_STOPS):
-                ids[-1] |= STOP
-            fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
+        """The ids of new words, from those of their cores; the last id of a word that ends a sentence carries STOP."""
+        split = {w: self._core(w) for w in words}
+        new = {part for pair in split.values() for part in pair if part not in self.cores}
+        if new:
+            if len(self.cores) + len(new) > REMEMBERED:
+                self.cores.clear()
+                new = {b"", *(part for pair in split.values() for part in pair)}
+            order = list(new)
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
+            self.cores.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(order, found, strict=True))
+        cores, fresh = self.cores, {}
+        for w, (core, tail) in split.items():
+            ids = cores[core] + cores[tail] if tail else cores[core]
+            fresh[w] = ids[:-1] + bytes([ids[-1] | 0x80]) if ids and w.endswith(_STOPS) else ids
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-        self.known.update(fresh if max(map(len, order)) <= LONGEST else {w: ids for w, ids in fresh.items() if len(w) <= LONGEST})
+        for part in {p for w in fresh if len(w) > LONGEST for p in split[w] if len(p) > LONGEST}:
+            del cores[part]
+        self.known.update(fresh if max(map(len, fresh)) <= LONGEST else {w: ids for w, ids in fresh.items() if len(w) <= LONGEST})
         return fresh
 
+    def _core(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case without the marks at its end, and those: its ids are theirs side by side (see separable)."""
+        if b"<|" in word:  # may be a special token, which only stands in one case
+            return word, b""
+        low = word.lower()
+        core = low.rstrip(_MARKS)
+        return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
+
     def encode(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         """The ids of a UTF-8 text, and after how many of them sentences end."""
         parts: list[bytes] = []
