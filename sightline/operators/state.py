@@ -304,14 +304,37 @@ class ResultFold:
     changes of a track's voted reading confirm its entity, and the row of a name that an entity had before is dropped.
 
     A track lives as long as it is seen again within alive; later results of it are late. Actions: late, empty, read,
-    drop, confirmed, confirmed_again. The summary is the newest confirmed row per name that no later drop removes.
+    drop, confirmed, confirmed_again. The summary is the newest confirmed row per name that no later drop removes. A site
+    without rows for rest seconds (at least the registry's forget) starts anew, numbers of unnamed entities included.
     """
 
-    def __init__(self, alive: float = 5.0, least: int = 2, margin: int = 1, registry: Registry | None = None):
-        self.alive, self.least, self.margin = alive, least, margin
+    def __init__(self, alive: float = 5.0, least: int = 2, margin: int = 1, registry: Registry | None = None, rest: float = math.inf):
+        self.alive, self.least, self.margin, self.rest, self.latest = alive, least, margin, rest, -math.inf
         self.registry = registry or Registry()
+        if rest < max(alive, self.registry.forget):
+            raise ValueError("a site must rest at least as long as its tracks live and its entities are remembered")
         self.tracks: OrderedDict[tuple[str, int], tuple[float, Reads]] = OrderedDict()
 
+    @property
+    def due(self) -> float:
+        """When time alone changes what is held: once all entities are forgotten, and once the site has rested. Infinite if never."""
+        return self.latest + (self.registry.forget if self.registry.entities or self.tracks else self.rest)
+
+    @property
+    def idle(self) -> bool:
+        """Whether nothing is held that a later row could meet."""
+        return self.latest == -math.inf
+
+    def pass_time(self, now: float) -> None:
+        """What the passing of time alone does: tracks and entities end, and a site that has rested starts anew."""
+        while self.tracks and now - next(iter(self.tracks.values()))[0] > self.alive:
+            key, _ = self.tracks.popitem(last=False)
+            self.registry.release(*key)
+        self.registry.cleanup(now)
+        if now - self.latest > self.rest:
+            self.registry.unnamed = self.registry.steps = 0
+            self.latest = -math.inf
+
     def see(self, camera: str, track: int, in_zone: bool, now: float) -> None:
         key = (camera, track)
         self._end(now)
@@ -320,10 +343,8 @@ class ResultFold:
         self.registry.sight(camera, track, in_zone, now)
 
     def _end(self, now: float) -> None:
-        while self.tracks and now - next(iter(self.tracks.values()))[0] > self.alive:
-            key, _ = self.tracks.popitem(last=False)
-            self.registry.release(*key)
-        self.registry.cleanup(now)
+        self.pass_time(now)
+        self.latest = now
 
     def result(self, camera: str, track: int, code: str | None, pair: tuple[str, str] | None, empty: bool, in_zone: bool, now: float) -> list[tuple]:
         """Actions as (action, name, code, start, end, status, confidence, first)."""

@@ -1,11 +1,10 @@
-"""Structured Streaming hosts of the folds and sinks: throttle, the fold of results with its entities, rates, upserted summary, event log.
+"""Structured Streaming hosts of the folds and sinks: throttle, rates, event log; the fold of results with its entities is in streaming.entities.
 
 The functions that hold state are those of operators.state, so a stream that is drained gives the batch result.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import results, state
+from ..operators import state
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, per_batch: int = 1) -> DataFrame:
@@ -61,21 +60,6 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def result_stream(stream: DataFrame, site: str, t: str, number: str, unit: float, **settings) -> DataFrame:
-    """The actions of results.result_log of a stream; the state is one site's fold. Rows are put in order within a trigger."""
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(group.get[0]) if group.exists else state.ResultFold(**settings)
-        pdf = pd.concat(list(parts)).sort_values([t, number])
-        rows = pdf[[t, number, *results.INPUT]].astype(object).where(pdf[[t, number, *results.INPUT]].notna(), None).itertuples(index=False, name=None)
-        out = [key + a for a in results.actions(held, rows, unit)]
-        group.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=[site, "t", "number", "place", *(f.split()[0] for f in results.ACTIONS.split(", "))])
-
-    schema = f"{site} {stream.schema[site].dataType.simpleString()}, t long, number long, place int, {results.ACTIONS}"
-    return stream.groupBy(site).applyInPandasWithState(fold, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
-
-
 def counted(df: DataFrame, name: str | Observation, **kinds: Column) -> DataFrame:
     """df, which reports as metrics of that name, or to that observation, how many rows it had and how many of each kind, in a batch and in each trigger of a stream."""
     return df.observe(name, F.count(F.lit(1)).alias("processed"), *(F.count_if(c).alias(k) for k, c in kinds.items()))

@@ -151,26 +151,6 @@ def test_result_log_and_summary_by_replay(spark):
     assert all(r["status"] == ("read" if r["code"] else "partial") and 0 < r["confidence"] <= 1 and r["first"] * 3_600_000_000 <= r["t"] + 1 for r in rows)
 
 
-@needs_tables
-def test_drained_result_stream_equals_batch(spark, tmp_path):
-    rows = station_queries.result_rows(spark, DATA).where("site < 4").withColumn("site", F.col("site").cast("long")).cache()
-    middle = rows.approxQuantile("t", [0.5], 0.0)[0]
-    for part in (f"t <= {middle}", f"t > {middle}"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: spark.read.parquet(str(p)).agg(F.min("t")).first()[0])
-    import os
-
-    for at, f in enumerate(files):
-        os.utime(f, (1_700_000_000 + at * 10,) * 2)  # files are read by their time
-    stream = hosts.event_stream(spark, str(tmp_path / "in"), rows.schema.simpleString()[7:-1].replace(":", " "), 1)
-    out = hosts.result_stream(stream, "site", "t", "number", 3_600_000_000, **station_queries.SETTINGS)
-    q = out.writeStream.format("memory").queryName("actions").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert q.lastProgress["batchId"] == 1
-    batch = results.result_log(rows, "site", "t", "number", 3_600_000_000, **station_queries.SETTINGS)
-    assert sorted(spark.table("actions").collect(), key=repr) == sorted(batch.collect(), key=repr) and batch.count() > 50
-
-
 def test_registry_rules():
     r = state.Registry()
     r.sight("a", 1, True, 1.0)
