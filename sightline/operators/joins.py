@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,19 @@ def sequence_ratio(a, b) -> Column:
     return F.pandas_udf(_ratios, T.DoubleType())(a, b)
 
 
+def ratio_bound(a, b) -> Column:
+    """The most that the similarity of two texts can be: twice the digits they have in common, whatever their order, over all their digits; 0 if either has none."""
+    x, y = (F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "[^0-9]", "") for c in (a, b))
+    times = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(str(d)), F.lit("")))
+    common = reduce(Column.__add__, (F.least(times(x, d), times(y, d)) for d in range(10)))
+    return F.when((F.length(x) > 0) & (F.length(y) > 0), 2 * common / (F.length(x) + F.length(y))).otherwise(0.0)
+
+
+def alike(a, b, least: float) -> Column:
+    """Whether two texts are at least so similar. As a condition of a filter the bound comes first, so Python sees only pairs that it leaves."""
+    return (ratio_bound(a, b) >= least) & (sequence_ratio(a, b) >= least)
+
+
 def rekey(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node and root: the smallest node that chains of (node, parent) lead to, by pointer doubling; parents are smaller, or the node itself. Each round is stored, so none is computed twice; chains longer than the rounds can follow, and larger parents, are an error."""
     if not links.where("parent > node").isEmpty():

@@ -50,16 +50,22 @@ def reading_eligibility(spark, d):
     return fold_groups(e, ["user_id"], ["t", "event_id"], [], fold, "event_id long")
 
 
-def zone_link_join(spark, d):
-    """Each click in its zone with the first view of the same user in its zone in the six hours before."""
-    e = events(spark, d).select("user_id", "event_id", "event_type", "t", F.col("value").alias("x0"), (F.col("event_id") % 60).alias("y0"))
-    e = e.withColumn("x1", F.col("x0") + 10).withColumn("y1", F.col("y0") + 8)
-    frame = (F.lit(100), F.lit(80), False)
+#: Kind of event and the shares of the frame that its camera's zone has.
+SIDES = {"click": (0.2, 0.1, 0.6, 0.5), "view": (0.0, 0.25, 0.45, 1.0)}
+
 
-    def seen(kind, *shares):
-        return e.where((F.col("event_type") == kind) & G.overlaps(G.box(""), G.zone(tuple(map(F.lit, shares)), *frame))).select("user_id", "event_id", "t")
+def in_zone(e, kind):
+    """The events of a kind whose box lies in the zone of its camera; e is a table or a stream."""
+    x, y = F.col("value"), F.col("event_id") % 60
+    box = (x, y, x + 10, y + 8)
+    return e.where((F.col("event_type") == kind) & G.overlaps(box, G.zone(tuple(map(F.lit, SIDES[kind])), F.lit(100), F.lit(80), False)))
 
-    j = J.within(seen("click", 0.2, 0.1, 0.6, 0.5), seen("view", 0.0, 0.25, 0.45, 1.0), ["user_id"], "t", 6 * H, "other_")
+
+def zone_link_join(spark, d):
+    """Each click in its zone with the first view of the same user in its zone in the six hours before."""
+    e = events(spark, d)
+    click, view = (in_zone(e, k).select("user_id", "event_id", "t") for k in SIDES)
+    j = J.within(click, view, ["user_id"], "t", 6 * H, "other_")
     return J.first_in(j, ["event_id"], ["other_t", "other_event_id"]).select("event_id", "other_event_id")
 
 
