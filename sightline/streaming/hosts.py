@@ -1,4 +1,4 @@
-"""Structured Streaming hosts of the folds and sinks: throttle, rates, event log; the fold of results with its entities is in streaming.entities.
+"""Structured Streaming hosts of the folds and sinks: throttle, rates, event log; the fold of results with its entities is in streaming.entities, the upserted summary in streaming.upserts.
 
 The functions that hold state are those of operators.state, so a stream that is drained gives the batch result.
 """
@@ -38,23 +38,6 @@ def windowed_rates(stream: DataFrame, t: str, key: str, width: str = "6 hours",
     return stream.withWatermark(t, late).groupBy(F.window(t, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def upsert_into(path: str, key: str, order: list[str]):
-    """For foreachBatch: the newest row per key of what is there and of the batch, in a new version folder of path.
-
-    Replaying a batch gives the same version, so a restart after a failure is harmless.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = F.max(F.struct(*order, *[c for c in batch.columns if c not in (key, *order)])).alias("m")
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
-        rows.groupBy(key).agg(newest).select(key, "m.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    return write
-
-
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """The event log as JSON lines, appended exactly once."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
