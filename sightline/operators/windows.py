@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def trailing_extent(df: DataFrame, key: str, t: str, value: str, span: int, tie: str) -> DataFrame:
     """extent: largest less smallest value over the last span of t, inclusive; one point gives 0."""
@@ -61,14 +63,14 @@ def change_points(df: DataFrame, key: str, order: list[str], value: str) -> Data
 def first_at_or_after(rows: DataFrame, t: str, columns: list[str], tick: int) -> DataFrame:
     """Forward as-of: for each multiple of tick, from the one before the first row on, the first row at or after it (of ties the smallest first column).
 
-    Rows are aggregated to the first one of each tick's interval, with partial sums before the shuffle; a tick without
-    rows of its own takes the next interval's. Only these few rows, one a tick, are ordered.
+    Rows are aggregated to the first one of each tick's interval, with partial sums before the shuffle. A tick without rows
+    of its own takes the next interval's: each interval with rows answers all ticks since the one before it, which a scan
+    over ranges of intervals finds.
     """
-    firsts = rows.groupBy(F.floor(F.col(t) / tick).alias("_n")).agg(F.min(F.struct(t, *columns)).alias("_row"))
-    ends = firsts.agg(F.min("_n").alias("a"), F.max("_n").alias("b")).where("a IS NOT NULL")
-    ticks = ends.select(F.explode(F.sequence("a", "b")).alias("_n")).join(firsts, "_n", "left")
-    found = F.first("_row", ignorenulls=True).over(Window.orderBy("_n").rowsBetween(0, Window.unboundedFollowing))
-    return ticks.withColumn("_hit", found).select((F.col("_n") * tick).alias("tick"), *(F.col(f"_hit.{c}").alias(c) for c in columns))
+    firsts = rows.groupBy(F.floor(F.col(t) / tick).alias("_n")).agg(F.min(F.struct(t, *columns)).alias("_row")).where("_n IS NOT NULL")
+    since = scans.with_previous(firsts, ["_n"], "_n", "_before")
+    ticks = since.withColumn("_tick", F.explode(F.sequence(F.coalesce(F.col("_before") + 1, F.col("_n")), F.col("_n"))))
+    return ticks.select((F.col("_tick") * tick).alias("tick"), *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
 def each_once_at_or_after(rows: DataFrame, key: str, order: list[str], t: str, tick: int) -> DataFrame:

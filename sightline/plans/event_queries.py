@@ -7,7 +7,7 @@ from itertools import tee
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import state, votes, windows
+from ..operators import scans, state, votes, windows
 from ..operators.folds import fold_groups
 from ..sources.tables import events
 
@@ -129,6 +129,20 @@ def tick_sample_asof(spark, d):
     return windows.first_at_or_after(events(spark, d), "t", ["event_id", "value"], H)
 
 
+def ordered_scan(spark, d):
+    """Every row in the order of time, with its number and its time since the first row, in seconds."""
+    e = events(spark, d).select("event_id", "t")
+    began = e.agg(F.min("t")).first()[0]
+    return scans.numbered(e, ["t", "event_id"], "frame").select("frame", "event_id", ((F.col("t") - F.lit(began)) / 1e6).alias("media_t"))
+
+
+def running_changes(spark, d):
+    """For every row in the order of time: how many purchases there were so far, and the value of the last one."""
+    e = events(spark, d).select("event_id", "t", F.when(F.col("event_type") == "purchase", F.col("value")).alias("paid"))
+    total = scans.running_total(e, ["t", "event_id"], F.col("paid").isNotNull().cast("int"), "purchases")
+    return scans.forward_filled(total, ["t", "event_id"], "paid", "last_paid").select("event_id", "purchases", "last_paid")
+
+
 def modulo_sample(spark, d):
     return events(spark, d).where("event_id % 3 = 0").select("event_id", "value")
 
@@ -191,7 +205,7 @@ def ttl_expiry(spark, d):
     return e.withColumn("next", F.lead("t").over(w)).join(F.broadcast(end)).where(F.coalesce("next", "end") - F.col("t") > 24 * H).select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (vote_counts, vote_winner, vote_confidence, vote_leader, latest_per_key, seen_span, per_key_summary, latency_stats, ordered_concat, rate_bucket, topk_per_group, relative_topk, trailing_extent, stationary_filter, gap_sessions, interval_merge_count, change_points, locf_fill, run_collapse, tumbling_rate, tick_gap_fill, tick_sample_asof, modulo_sample, gate_filter, eligibility_gate, min_interval_throttle, bounded_queue_drop, event_log_json, summary_upsert, first_report, latest_reading_wins, ttl_expiry)}
+QUERIES = {f.__name__: f for f in (vote_counts, vote_winner, vote_confidence, vote_leader, latest_per_key, seen_span, per_key_summary, latency_stats, ordered_concat, rate_bucket, topk_per_group, relative_topk, trailing_extent, stationary_filter, gap_sessions, interval_merge_count, change_points, locf_fill, run_collapse, tumbling_rate, tick_gap_fill, tick_sample_asof, ordered_scan, running_changes, modulo_sample, gate_filter, eligibility_gate, min_interval_throttle, bounded_queue_drop, event_log_json, summary_upsert, first_report, latest_reading_wins, ttl_expiry)}
 
 _WIN = """SELECT user_id, max(n) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second, sum(n) AS total, max(v) FILTER (r = 1) AS v FROM
  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, v) AS r FROM (SELECT user_id, {v} AS v, count(*) AS n FROM events GROUP BY 1, 2)) GROUP BY 1"""
@@ -220,6 +234,8 @@ SQL = {
     "tumbling_rate": f"{E} SELECT event_type, (t // {6 * H})::BIGINT AS hour, count(*) / 6.0::DOUBLE AS per_hour FROM e GROUP BY 1, 2",
     "tick_gap_fill": f"{E}, k AS (SELECT DISTINCT user_id, (t // {24 * H})::BIGINT AS tick FROM e) SELECT user_id, tick, greatest(1, tick - coalesce(lag(tick) OVER (PARTITION BY user_id ORDER BY tick), tick - 1)) AS owed FROM k",
     "tick_sample_asof": f"{E}, k AS (SELECT unnest(range(min(t) // {H}, max(t) // {H} + 1)) * {H} AS tick FROM e) SELECT tick::BIGINT AS tick, event_id, value FROM k ASOF JOIN e ON tick <= t",
+    "ordered_scan": f"{E} SELECT row_number() OVER (ORDER BY t, event_id)::BIGINT AS frame, event_id, (t - min(t) OVER ()) / 1e6::DOUBLE AS media_t FROM e",
+    "running_changes": f"{E}, p AS (SELECT event_id, t, CASE WHEN event_type = 'purchase' THEN value END AS paid FROM e) SELECT event_id, count(paid) OVER w AS purchases, last_value(paid IGNORE NULLS) OVER w AS last_paid FROM p WINDOW w AS (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)",
     "modulo_sample": "SELECT event_id, value FROM events WHERE event_id % 3 = 0",
     "gate_filter": "SELECT event_id FROM events WHERE value >= 12 AND user_id % 5 <> 0 AND event_type <> 'error' AND value / 120 <= 0.6",
     "eligibility_gate": f"{E} SELECT event_id FROM (SELECT event_id, row_number() OVER w AS hits, t - lag(t) OVER w AS idle FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) WHERE hits >= 3 AND hits <= 40 AND idle >= {6 * H}",
