@@ -149,7 +149,7 @@ def places(lengths: list[int], ends: list[np.ndarray], room: int) -> tuple[np.nd
     gaps = np.diff(soft)
     step = min(STEP, room)
     wide = np.flatnonzero(gaps > 2 * step)
-    torn = [np.arange(soft[i] + step, soft[i + 1], step) for i in wide] + [np.arange(max(0, total - room), total)]
+    torn = [np.arange(soft[i] + step, soft[i + 1], step) for i in wide] + [np.arange(max(0, total - room), total, step), np.arange(max(0, total - room // 8), total)]
     at = np.unique(np.concatenate([soft, *torn]))
     penalty = np.full(len(at), TORN, np.int64)
     for where, cost in marks:
