@@ -1,4 +1,4 @@
-"""Joins beyond equality: pairs within a group, interval links, similar twins, reconciliation with a list, re-keying."""
+"""Joins beyond equality: pairs within a group, interval links, similar twins, reconciliation with a list."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import stored
 from . import state
 
 
@@ -63,21 +62,6 @@ def alike(a, b, least: float) -> Column:
     return (ratio_bound(a, b) >= least) & (sequence_ratio(a, b) >= least)
 
 
-def rekey(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and root: the smallest node that chains of (node, parent) lead to, by pointer doubling; parents are smaller, or the node itself. Each round is stored, so none is computed twice; chains longer than the rounds can follow, and larger parents, are an error."""
-    if not links.where("parent > node").isEmpty():
-        raise ValueError("a parent is larger than its node")
-    up = links
-    for _ in range(rounds):
-        higher = up.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        nxt = up.join(higher, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), (F.coalesce("_up", "parent") != F.col("parent")).alias("moved"))
-        nxt = stored(nxt)
-        if nxt.where("moved").isEmpty():
-            return nxt.select("node", F.col("parent").alias("root"))
-        up = nxt.drop("moved")
-    raise ValueError(f"chains are longer than 2^{rounds - 1} links")
-
-
 def first_in(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import arrays as A
+from ..operators import chains, state
 from ..operators import joins as J
-from ..operators import state
 from ..operators.folds import fold_groups
 from ..sources.tables import clean_list, events, table
 from .event_queries import E, H
@@ -135,13 +135,11 @@ def topk_positions(spark, d):
 
 def greedy_match(spark, d):
     """One-to-one pairs of boxes of each order's odd and even lines, by overlap."""
-    def fold(key, rows):
-        rows = list(rows)
-        a, o = [r for r in rows if r[0] % 2], [r for r in rows if not r[0] % 2]
-        scored = [(s, i, j) for i, x in enumerate(a) for j, y in enumerate(o) if (s := state.box_iou(x[1:], y[1:])) >= 0.05]
-        return [(key[0], a[i][0], o[j][0]) for i, j in state.greedy_match(scored)]
-
-    return fold_groups(_boxes(spark, d), ["l_orderkey"], ["l_linenumber", "x0", "y0", "x1", "y1"], [], fold, "l_orderkey long, odd_line int, even_line int")
+    b = _boxes(spark, d).select("l_orderkey", F.struct("l_linenumber", "x0", "y0", "x1", "y1").alias("odd")).distinct()
+    even = b.where("odd.l_linenumber % 2 = 0").withColumnRenamed("odd", "even")
+    pairs = b.where("odd.l_linenumber % 2 = 1").join(even, "l_orderkey").withColumn("score", G.iou(G.box("odd."), G.box("even.")))
+    taken = chains.greedy_pairs(pairs.where("score >= 0.05"), ["l_orderkey"], "score", "odd", "even")
+    return taken.select("l_orderkey", F.col("odd.l_linenumber").alias("odd_line"), F.col("even.l_linenumber").alias("even_line"))
 
 
 def tracker_fold(spark, d):
@@ -193,7 +191,7 @@ def similarity_twin_join(spark, d):
 def rekey_migrate(spark, d):
     """Entities re-keyed along chains of merges."""
     links = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey - 1 END").alias("parent")).where("node >= 0")
-    return J.rekey(links)
+    return chains.led_to(links)
 
 
 QUERIES = {f.__name__: f for f in (box_iou, zone_overlap, tight_bounds, reference_list_clean, reconcile_left_join, verdict_histogram, pair_score_theta_join, unmatched_anti, late_result_inner, superseded_anti, interval_link_join, entity_by_key, clipped_share, laplacian_var, percentile_stretch, minmax_normalise, topk_positions, greedy_match, tracker_fold, identity_fold, sequence_ratio, similarity_twin_join, rekey_migrate)}
@@ -217,6 +215,14 @@ SQL = {
     "late_result_inner": f"{E}, a AS (SELECT user_id, min(t) + {72 * H} AS until FROM e GROUP BY 1) SELECT event_id FROM e JOIN a USING (user_id) WHERE t <= until",
     "superseded_anti": "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)",
     "interval_link_join": f"{E} SELECT a.event_id, b.event_id AS other_event_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.t BETWEEN a.t - {6 * H} AND a.t QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.t, b.event_id) = 1",
+    "greedy_match": f"""WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey, l_linenumber, {', '.join(f'{v} AS {k}' for k, v in BOX.items())} FROM lineitem),
+ s AS (SELECT a.l_orderkey, {{n: a.l_linenumber, x0: a.x0, y0: a.y0, x1: a.x1, y1: a.y1}} AS odd, {{n: o.l_linenumber, x0: o.x0, y0: o.y0, x1: o.x1, y1: o.y1}} AS even, {_IOU.format(a='a.', b='o.')} AS score
+  FROM b a JOIN b o USING (l_orderkey) WHERE a.l_linenumber % 2 = 1 AND o.l_linenumber % 2 = 0),
+ p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, odd DESC, even DESC) AS i FROM s WHERE score >= 0.05),
+ r AS (SELECT l_orderkey, i, odd, even, true AS ok, [odd] AS odds, [even] AS evens FROM p WHERE i = 1
+ UNION ALL SELECT l_orderkey, i, odd, even, ok, CASE WHEN ok THEN odds || [odd] ELSE odds END, CASE WHEN ok THEN evens || [even] ELSE evens END
+  FROM (SELECT p.l_orderkey, p.i, p.odd, p.even, odds, evens, NOT (list_contains(odds, p.odd) OR list_contains(evens, p.even)) AS ok FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.i = r.i + 1))
+ SELECT l_orderkey, odd.n AS odd_line, even.n AS even_line FROM r WHERE ok""",
     "rekey_migrate": "WITH RECURSIVE up AS (SELECT c_custkey AS node, c_custkey AS place FROM customer UNION ALL SELECT node, place - 1 FROM up WHERE place % 5 <> 0) SELECT node, min(place) AS root FROM up GROUP BY 1",
     "entity_by_key": f"{E} SELECT concat('ROLL-', user_id % 40) AS code, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT event_type) AS cameras FROM e GROUP BY 1",
     "clipped_share": f"{_V} SELECT vec_id, round(len(list_filter(v, lambda x: x >= 0.1)) / len(v), 6) AS share FROM v",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,17 +15,47 @@ MASTER_COLUMNS = ["ply_no", "start", "end", "length_m", "no_of_ply", "item_numbe
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|bmp|tif|tiff|webp)$"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read again, so that lost executors cost no recomputation. Only a local session without spark.checkpoint.dir, as in tests, uses a folder of this machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint directory. Only a local session without either, as in tests, has one folder of this machine, which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="sightline-")
-    path = f"{folder.rstrip('/')}/sightline/{uuid.uuid4().hex}"
+        folder = getattr(spark, "_sightline_shared", None)
+        if folder is None:
+            folder = spark._sightline_shared = tempfile.mkdtemp(prefix="sightline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that lost executors cost no recomputation. It stays until discarded() or discard_all()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sightline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    spark._sightline_stored = [*getattr(spark, "_sightline_stored", ()), path]
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discarded(df: DataFrame) -> None:
+    """Remove what stored() wrote for df, once nothing reads it any more."""
+    spark, path = df.sparkSession, df._stored_at
+    _remove(spark, path)
+    spark._sightline_stored = [p for p in getattr(spark, "_sightline_stored", ()) if p != path]
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove all that stored() wrote in this session, once no result that reads it is needed."""
+    for path in getattr(spark, "_sightline_stored", ()):
+        _remove(spark, path)
+    spark._sightline_stored = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,15 +101,6 @@ def test_tracker_pairs_by_overlap_and_distance_of_centres():
     assert t.update([(0, 6, 10, 16)], 1)[0] == [1]  # overlap 0.25 and 6 away against 2 / 18 and 8 away
 
 
-def test_rekey_follows_chains_and_refuses_loops(spark):
-    links = spark.createDataFrame([(i, max(0, i - 1)) for i in range(70)] + [(100, 100)], "node long, parent long")
-    assert {r["node"]: r["root"] for r in J.rekey(links).collect()} == dict.fromkeys(range(70), 0) | {100: 100}
-    with pytest.raises(ValueError, match="longer"):
-        J.rekey(links, rounds=3)
-    with pytest.raises(ValueError, match="larger"):
-        J.rekey(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
-
-
 def test_votes(spark):
     df = spark.createDataFrame([("a", v) for v in "xx"] + [("b", "x")] + [("c", v) for v in "xxyy"] + [("d", v) for v in "xxxyy"] + [("d", None)], "k string, v string")
     assert dict(votes.winner(df, "k", "v").select("k", "winner").collect()) == {"a": "x", "b": None, "c": None, "d": "x"}
@@ -130,11 +121,6 @@ def test_boxes(spark):
     assert row[0] == pytest.approx(50 / 150) and row[1] is True
 
 
-def test_rekey_follows_chains(spark):
-    links = spark.createDataFrame([(i, i - 1 if i else 0) for i in range(9)], "node long, parent long")
-    assert {r["root"] for r in J.rekey(links).collect()} == {0}
-
-
 def test_asof(spark):
     rows = spark.createDataFrame([(5, 50), (25, 250), (95, 950)], "t long, v long")
     got = dict(windows.first_at_or_after(rows, "t", ["v"], 10).collect())
