@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
-        folder = getattr(spark, "_sightline_shared", None) or tempfile.mkdtemp(prefix="sightline-")
-        spark._sightline_shared = folder
+        folder = getattr(spark, "_sightline_shared", None)
+        if folder is None:
+            folder = spark._sightline_shared = tempfile.mkdtemp(prefix="sightline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The folders written within the innermost scratch() of this thread or task.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -38,8 +44,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    if _scopes:
-        _scopes[-1].append(path)
+    if (held := _scope.get()) is not None:
+        held.append(path)
     return out
 
 
@@ -84,11 +90,13 @@ def forget(df: DataFrame) -> None:
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes at its end all that written() wrote within; results must be stored by then."""
-    _scopes.append([])
+    held: list[str] = []
+    outer = _scope.set(held)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in held:
             remove(spark, path)
 
 

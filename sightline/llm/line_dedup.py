@@ -1,8 +1,8 @@
 """Line dedup within one edit by a deletion-neighbourhood join.
 
-A line is its lower-cased words. Lines of MIN_WORDS or more are compared; shorter ones (headings, braces) always stay.
-A line goes if an earlier line (by doc_id, then a hash of the text, then line number) is equal, or, from NEAR_WORDS
-words on, at most one edit away: one word replaced, inserted or deleted.
+A line is its lower-cased words; lines without words are never compared and stay. A line goes if an earlier line (by
+doc_id, then a hash of the text, then line number) is equal, or, from NEAR_WORDS words on, at most one edit away: one word
+replaced, inserted or deleted.
 
 1. Equal lines are collapsed to their earliest occurrence by a hash of 128 bits; later occurrences go.
 2. Two lines one edit apart agree on their first or second half. Hashed halves show which lines have a possible
@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, sized, written
+from .common import free_name, map_rows, sized, skew_join, written
 
-MIN_WORDS, NEAR_WORDS = 3, 8
+#: From so many words on a line also goes if it is one edit away; of fewer words one is too large a part.
+NEAR_WORDS = 8
 EQUAL_LEFT, EQUAL_RIGHT, LONG_LEFT, LONG_RIGHT, SHORT = 1, 2, 4, 8, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,7 +96,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             version = _signed(xxhash.xxh64_intdigest(text, 42))
             for i, line in enumerate(text.split("\n")):
                 words = line_words(line)
-                if len(words) >= MIN_WORDS:
+                if words:
                     yield (*line_id(words), doc, version, i, half_keys(words) if len(words) >= NEAR_WORDS else None)
 
     return map_rows(docs, [id_col, text_col], "h1 bigint, h2 bigint, doc bigint, version bigint, line int, halves array<bigint>", rows, flush=4000)
@@ -105,12 +106,12 @@ def _flags(firsts: DataFrame) -> DataFrame:
     """h1 and the flags of the lines that share a half with a possible partner."""
     keys = firsts.where("halves IS NOT NULL").select("h1", F.posexplode("halves").alias("i", "key"))
     groups = keys.groupBy("key").agg(F.count_if(F.col("i") < 2).alias("own"), F.count_if(F.col("i") >= 2).alias("longer"))
-    groups = groups.where("own > 1 OR (own > 0 AND longer > 0)")
+    groups = written(groups.where("own > 1 OR (own > 0 AND longer > 0)").withColumn("n", F.col("own") + F.col("longer")))
     bit = (
         F.when(F.col("i") >= 2, F.when(F.col("own") > 0, F.when(F.col("i") == 2, LONG_LEFT).otherwise(LONG_RIGHT)).otherwise(0))
         .otherwise(F.when(F.col("own") > 1, F.when(F.col("i") == 0, EQUAL_LEFT).otherwise(EQUAL_RIGHT)).otherwise(0).bitwiseOR(F.when(F.col("longer") > 0, SHORT).otherwise(0)))
     )
-    return keys.join(groups, "key").select("h1", bit.alias("flag")).groupBy("h1").agg(F.bit_or("flag").alias("flags"))
+    return skew_join(keys, groups.drop("n"), ["key"], groups.select("key", "n")).select("h1", bit.alias("flag")).groupBy("h1").agg(F.bit_or("flag").alias("flags"))
 
 
 def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,9 +131,9 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> Dat
     place = F.struct("doc", "version", "line")
     rows = written(map_rows(fetched, ["doc", "version", "text", "want"], "key bigint, kind int, doc bigint, version bigint, line int", emit, flush=8000))
     first = lambda k: F.min(F.when(F.col("kind") == k, place))
-    earliest = rows.groupBy("key").agg(F.count("*").alias("n"), first(0).alias("same"), first(1).alias("short"), first(2).alias("long")).where("n > 1").drop("n")
+    earliest = written(rows.groupBy("key").agg(F.count("*").alias("n"), first(0).alias("same"), first(1).alias("short"), first(2).alias("long")).where("n > 1"))
     other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("long")).otherwise(F.col("short"))
-    links = rows.join(earliest, "key").where(other < place).select("doc", "version", "line", other.alias("other")).distinct()
+    links = skew_join(rows, earliest.drop("n"), ["key"], earliest.select("key", "n")).where(other < place).select("doc", "version", "line", other.alias("other")).distinct()
     return _verified(docs, written(links), id_col, text_col)
 
 

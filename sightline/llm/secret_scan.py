@@ -2,12 +2,17 @@
 
 Candidates are the base patterns (assign, access, hex) and, beyond them, long mixed tokens (generic). Each candidate
 value is hashed and the hashes are counted by distinct repositories (documents) and distinct owners (sources) over the
-whole corpus. A value held by more than MAX_OWNERS owners, or by more than MAX_REPOSITORIES repositories for each of its
-owners, is a widely copied example; one held by few of both is a live-looking credential. Base spans always stay and get their class; generic spans are added only where the ownership
-says live.
+whole corpus. What the counts mean is told by the corpus itself: were a value's r repositories drawn from all, they would
+have about E = N (1 - (1 - 1/N)^r) owners, N being the effective number of owners (of equal share, as likely to meet as
+those of the corpus). A widely copied example has nearly as many; a value that its owner alone uses, in however many
+repositories, has few. A value is live-looking if owners - 1 <= SPREAD (E - 1), so one of a single repository always is,
+and a larger corpus does not move the class of a value. Base spans always stay and get their class; generic spans are
+added only where the ownership says live.
 
 Defined results: a null text counts as empty; a null owner counts as an owner of its own name ""; repeated rows each
-get their row and count once per repository; offsets are code points, ends exclusive; an empty table gives no rows.
+get their row and count once per repository; of one owner all values are live; offsets are code points, ends exclusive;
+texts are scanned whole, whatever their length; other columns are ignored, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import skew_join, written
 
 #: The base patterns, and the least length of the part that counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,7 +30,8 @@ HEX = r"[0-9a-f]{16,}"
 GENERIC = r"[A-Za-z0-9_+/-]{24,}"
 ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "generic"]
-MAX_OWNERS, MAX_REPOSITORIES = 2, 8
+#: Of the owners beyond the first that a copied value would have, the share that a live one has at most.
+SPREAD = 0.5
 #: A generic token needs this many digits, letters and distinct characters.
 DIGITS, LETTERS, DISTINCT = 4, 4, 10
 
@@ -68,18 +74,28 @@ def _mixed(s: Column) -> Column:
 
 
 def ownership(values: DataFrame, id_col: str) -> DataFrame:
-    """value_hash, repositories and owners (distinct) of values(value_hash, id_col, owner). Distinct counts are first made per value and repository or owner, so one value in a third of all rows is spread over tasks."""
-    return values.groupBy("value_hash").agg(F.count_distinct(id_col).alias("repositories"), F.count_distinct("owner").alias("owners"))
+    """value_hash, repositories and owners (distinct) and n (rows) of values(value_hash, id_col, owner). Distinct counts are first made per value and repository or owner, so one value in a third of all rows is spread over tasks."""
+    return values.groupBy("value_hash").agg(F.count_distinct(id_col).alias("repositories"), F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("n"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def effective_owners(rows: DataFrame, id_col: str) -> float:
+    """The number of owners of equal share whose repositories would share an owner as often as those of the corpus do."""
+    by_owner = rows.groupBy("owner").agg(F.count_distinct(id_col).cast("double").alias("n"))
+    total, squares = by_owner.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    return total * total / squares if squares else 1.0
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", spread: float = SPREAD) -> DataFrame:
     """Of every row of df: id_col, base (array of struct start, kind, end), added (the same, generic and live), n_live and n_copied base spans."""
     rows = written(candidates(df, id_col, text_col, owner_col))
     free = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
     each = rows.where((F.size("base") > 0) | (F.size("generic") > 0)).select("row", id_col, "owner", F.explode(F.concat("base", free)).alias("s"))
     each = each.select("row", id_col, "owner", F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash"))
-    classed = each.join(ownership(each, id_col), "value_hash", "left")
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= F.lit(max_repositories) * F.col("owners"))
+    held = written(ownership(each, id_col))
+    classed = skew_join(each, held.drop("n"), ["value_hash"], held.select("value_hash", "n"))
+    n = effective_owners(rows, id_col)
+    expected = n * (1 - F.pow(F.lit(1 - 1 / n), F.col("repositories")))
+    live = F.col("owners") - 1 <= F.lit(spread) * (expected - 1) + 1e-9
     is_base = F.col("kind") < KINDS.index("generic")
     per_row = classed.where(is_base | live).groupBy("row").agg(
         F.count_if(is_base & live).alias("n_live"),

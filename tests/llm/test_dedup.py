@@ -17,7 +17,7 @@ def brute_lines(rows):
     for i, text in sorted((i, t) for i, t in rows if t):
         for k, line in enumerate(text.split("\n")):
             w = ld.line_words(line)
-            if len(w) < ld.MIN_WORDS:
+            if not w:
                 continue
             if any(w == x or min(len(w), len(x)) >= ld.NEAR_WORDS and ld.within_one(w, x) for x in seen):
                 gone.setdefault(i, []).append(k)

@@ -51,23 +51,49 @@ def test_ownership_tells_copies_from_live(spark):
     assert out[0] == (0, 1) and out[30] == (1, 0)
 
 
-def test_both_frequencies_decide_by_brute_force(spark):
+def plain_classes(texts, spread=0.5):
+    """Of each text: whether its value is live, by plain counts."""
+    by_owner, held = {}, {}
+    for i, (t, o) in texts.items():
+        by_owner.setdefault(o, set()).add(i)
+        held.setdefault(t, []).append((i, o))
+    sizes = [len(x) for x in by_owner.values()]
+    n = sum(sizes) ** 2 / sum(x * x for x in sizes)
+    out = {}
+    for t, rows in held.items():
+        owners, repositories = len({o for _, o in rows}), len({i for i, _ in rows})
+        out[t] = owners - 1 <= spread * (n * (1 - (1 - 1 / n) ** repositories) - 1) + 1e-9
+    return out
+
+
+@pytest.mark.parametrize("filler", [0, 60, 600])
+def test_ownership_decides_by_brute_force_in_growing_corpora(spark, filler):
     generic = [f"Zq{i}x9Y8w7V6u5T4s3R2q1P0oNm{i}kJ" for i in range(4)]
     texts, at = {}, 0
-    for value, many, owners in (("password=" + "onceonly12345", 1, 1), ("password=" + "manyhere12345", 12, 1), ("password=" + "threeown12345", 3, 3), (generic[0], 2, 1), (generic[1], 9, 1), (generic[2], 16, 2), (generic[3], 17, 2)):
+    plan = ((("password=" + "onceonly12345"), 1, 1), ("password=" + "manyhere12345", 12, 1), ("password=" + "threeown12345", 3, 3), ("password=" + "fewowner12345", 12, 3), (generic[0], 2, 1), (generic[1], 9, 1), (generic[2], 16, 2), (generic[3], 17, 12))
+    for value, many, owners in plan:
         for k in range(many):
             texts[at] = (f"use {value} now", f"o{k % owners}")
             at += 1
+    for k in range(filler):
+        texts[at + k] = ("nothing here", f"o{k % 12}")
+    want = plain_classes(texts)
     df = spark.createDataFrame([(i, t, o) for i, (t, o) in texts.items()], "doc_id long, text string, source string")
-    held = {}
-    for i, (t, o) in texts.items():
-        held.setdefault(t, []).append((i, o))
     for r in ss.scan(df).collect():
         t = texts[r["doc_id"]][0]
-        owners, repositories = len({o for _, o in held[t]}), len({i for i, _ in held[t]})
-        live = owners <= 2 and repositories <= 8 * owners
-        base = "password" in t
-        assert (r["n_live"], r["n_copied"], len(r["added"])) == ((int(live), int(not live), 0) if base else (0, 0, int(live))), t
+        base, live = "password" in t, want[t]
+        found = t != "nothing here"
+        assert (r["n_live"], r["n_copied"], len(r["added"])) == ((int(live), int(not live), 0) if base else (0, 0, int(live and found))), t
+    if filler:  # the classes are those of what is copied, whatever the size of the corpus
+        assert [want[f"use {v} now"] for v, *_ in plan] == [True, True, False, True, True, True, True, False]
+
+
+def test_secrets_of_an_empty_table_and_of_clashing_columns(spark):
+    assert ss.scan(frame(spark, {})).count() == 0
+    clash = frame(spark, {1: "password=abcdefghijkl1"}).withColumnsRenamed({"h": "owner", "key": "value_hash", "version": "n", "lang": "base"})
+    assert [(x["n_live"], x["n_copied"]) for x in ss.scan(clash).collect()] == [(1, 0)]
+    long = "x " * 200_000 + "token=abcdefghijkl9 " + "y " * 1000
+    assert ss.scan(frame(spark, {1: long})).first()["base"][0]["start"] == 400_000
 
 
 def test_leaks(spark):
