@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import sentencepiece
@@ -23,7 +24,7 @@ from .common import map_rows
 
 SPACE = "▁"
 #: Pairs, and chunks with their ids, that a worker remembers; either memory is emptied when full, which changes no result.
-REMEMBERED = 1 << 17
+REMEMBERED, CHUNKS = 1 << 17, 1 << 19
 
 
 class PieceCodec:
@@ -113,18 +114,23 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        known = self.known
-        for chunk in self.chunks(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._any(chunk)
-                if len(chunk) <= 32:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out += ids
-        return out
+        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._learned(chunks[i])
+        return list(chain.from_iterable(found))
+
+    def _learned(self, chunk: str) -> list[int]:
+        ids = self.known.get(chunk)
+        if ids is None:
+            ids = self._any(chunk)
+            if len(chunk) <= 32:
+                if len(self.known) >= CHUNKS:
+                    self.known.clear()
+                self.known[chunk] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the dummy space; each undecodable byte gives U+FFFD."""
