@@ -12,9 +12,10 @@ frequent word, the three symbols before, and all before in the word. The guesses
 two words, and the same one word, the last time in this text; they count for a bit as long as their paths agree.
 
 Mixing. The predictions are stretched and mixed by weights that a gate selects: how deep the bit lies, how sure the guesses
-are, how often the word before was met. Each partition learns online from its training texts in their order: each step is
-predicted from what came before, then the weights are moved, then the bits are counted. Counts of the partitions are summed,
-weights averaged by their bits. In a text that is scored the weights are refined further, block by block, each block
+are, how often the word before was met. Training texts are dealt into shards by a hash, each of about SHARD tokens and in the
+order of that hash, so neither cores nor files change the model. A shard is learned from online: each step is predicted
+from what came before, then the weights are moved, then the bits are counted. Counts of the shards are summed, weights
+averaged by their bits. In a text that is scored the weights are refined further, block by block, each block
 scored before it is learned from. Counts of words, N and V are exact over the whole corpus, in shuffles. The hashed tables
 grow with the training tokens up to 2^max_bits slots; beyond, contexts share slots, and every token still counts.
 
@@ -48,6 +49,8 @@ MIN_BITS, MAX_BITS, STRIP = 16, 22, 1 << 16
 STEPS = 2048
 #: Tokens of the texts that are laid out together and of a step of learning; texts that advance together.
 BATCH_TOKENS, STEP_TOKENS, LANES = 1 << 18, 2048, 64
+#: Tokens of a shard, which is learned from in one go.
+SHARD = 1 << 22
 #: A text is scored in blocks: the first of so many tokens, each next one twice as long, up to the second.
 BLOCKS = 64, 1024
 #: Bits after which a task hands its counts over, so that no 32-bit count can overflow.
@@ -420,9 +423,13 @@ def learn_online(coder: Coder, bits: int, source):
     yield -1, None, float(seen + held), w.ravel().astype(float).tolist(), model.agree.ravel().tolist()
 
 
-def _learn(texts: DataFrame, coder, bits: int) -> tuple[Packed, np.ndarray, np.ndarray]:
-    """The count tables, the weights and the guesses' record of texts(text). One task a core sums its own tables first."""
-    spark = texts.sparkSession
+def shards(texts: DataFrame, n: int) -> DataFrame:
+    """texts(text) of n tokens dealt by a hash into shards of about SHARD tokens, in the order of that hash: the same shards however the table is stored and whatever the cluster."""
+    return texts.select("text", F.xxhash64("text").alias("h")).repartition(max(1, -(-n // SHARD)), "h").sortWithinPartitions("h", "text").select("text")
+
+
+def _learn(texts: DataFrame, n: int, coder, bits: int) -> tuple[Packed, np.ndarray, np.ndarray]:
+    """The count tables, the weights and the guesses' record of texts(text) of n tokens. A task learns from one shard, and a lost one is all that is learned again."""
 
     def add(pdf):
         import pandas as pd
@@ -432,7 +439,7 @@ def _learn(texts: DataFrame, coder, bits: int) -> tuple[Packed, np.ndarray, np.n
             total += np.frombuffer(zlib.decompress(v), np.uint32)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "v": [zlib.compress(coded(total).data, 1)]})
 
-    parts = map_rows(texts.coalesce(spark.sparkContext.defaultParallelism), ["text"], "part int, v binary, seen double, w array<double>, agree array<bigint>", lambda rows: learn_online(coder.value, bits, rows), flush=16)
+    parts = map_rows(shards(texts, n), ["text"], "part int, v binary, seen double, w array<double>, agree array<bigint>", lambda rows: learn_online(coder.value, bits, rows), flush=16)
     parts = written(parts)
     summed = parts.where("part >= 0").select("part", "v").groupBy("part").applyInPandas(add, "part int, v binary")
     packed = Packed(bits, {r["part"]: bytes(r["v"]) for r in summed.toLocalIterator()})
@@ -502,7 +509,7 @@ def fit(vocab: DataFrame, texts: DataFrame, n: int, max_bits: int = MAX_BITS):
     context = texts.sparkSession.sparkContext
     leaves, counts = leaves_of(vocab)
     coder = context.broadcast(Coder(leaves, counts, n - sum(counts)))
-    packed, weights, agree = _learn(texts, coder, table_bits(n, max_bits))
+    packed, weights, agree = _learn(texts, n, coder, table_bits(n, max_bits))
     return coder, context.broadcast(packed), weights, agree
 
 

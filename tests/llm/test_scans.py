@@ -424,3 +424,16 @@ def test_pipeline(spark, toxic_tables, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, d2)
         assert step.columns == docs.columns, name
+
+
+def test_scores_do_not_depend_on_files_or_cores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 400)
+    texts = {i: words(i, 30 + i % 50, 90) for i in range(120)} | {500: None, 501: "new words only " * 3}
+    rows = {}
+    for parts in (1, 4, 8):
+        df = frame(spark, texts).repartition(parts, "text")
+        rows[parts] = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score(df, F.col("doc_id") % 7 != 2).collect()}
+    for parts in (4, 8):
+        for i, (score, base, known) in rows[1].items():
+            assert rows[parts][i] == (pytest.approx(score, rel=1e-9), pytest.approx(base, rel=1e-9), known)
+    assert lm.shards(frame(spark, texts), 4001).rdd.getNumPartitions() == 11
