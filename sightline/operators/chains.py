@@ -80,3 +80,23 @@ def led_to(links: DataFrame) -> DataFrame:
         reach *= 2
     ring = up.where("NOT ended").select(F.col("node").alias("parent"), F.col("least").alias("_ring"))  # round a loop a pointer has seen all of it
     return up.join(ring, "parent", "left").select("node", F.coalesce("_ring", "parent").alias("root"))
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node reachable) of every node of edges (a, b), in any direction; loops and repeats are harmless.
+
+    Every root points at the least root next to it, if that is smaller; such chains only descend, led_to follows them, and
+    the edges are between fewer roots in the next round. A node with very many edges is one minimum.
+    """
+    both = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    roots = stored(both.select(F.col("a").alias("node")).union(both.select("b")).distinct().withColumn("root", F.col("node")))
+    left = stored(both.where("a <> b").distinct())
+    while not left.isEmpty():
+        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("least"))
+        to = stored(led_to(near.select(F.col("a").alias("node"), F.least("a", "least").alias("parent"))))
+        name = lambda c: to.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        roots, before = stored(roots.join(to.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))), roots
+        left, edges_before = stored(left.join(name("a"), "a").join(name("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()), left
+        for old in (before, edges_before, to):
+            discarded(old)
+    return roots

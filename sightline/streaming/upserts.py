@@ -50,6 +50,14 @@ class KeyedTable:
         m = self.manifest(version)
         return None if m is None else self._rows(m, m["folders"])
 
+    def lookup(self, keys: DataFrame) -> DataFrame | None:
+        """The newest rows of keys (the key columns, each key once), from the buckets that they fall into; None before the first batch."""
+        m = self.manifest()
+        if m is None:
+            return None
+        numbers = [str(r[0]) for r in keys.select(self._number(m["buckets"])).distinct().collect()]  # at most one per bucket
+        return self._rows(m, [n for n in numbers if n in m["folders"]]).join(keys, self.key, "left_semi")
+
     def _rows(self, m: dict, numbers) -> DataFrame:
         folders = [f"{self.path}/data/{m['folders'][n]}" for n in numbers]
         if not folders:
