@@ -7,9 +7,9 @@ from itertools import tee
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import chains, scans, state, votes, windows
+from ..operators import chains, quantiles, scans, state, votes, windows
 from ..operators.folds import fold_groups
-from ..sources.tables import events
+from ..sources.tables import events, table
 
 H = 3_600_000_000
 E = "WITH e AS (SELECT *, epoch_us(ts) AS t FROM events)"
@@ -165,6 +165,13 @@ def min_interval_throttle(spark, d):
     return fold_groups(events(spark, d), ["user_id"], ["t", "event_id"], [], fold, "user_id long, event_id long")
 
 
+def exact_percentiles(spark, d):
+    """Percentiles of the prices of each return flag, a group of which may hold half of all rows."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    out = quantiles.exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.95, 0.995])
+    return out.select("l_returnflag", "share", F.round("quantile", 4).alias("price"))
+
+
 def throttle_of_one_key(spark, d):
     """The rows at least six hours after the last accepted one, of all rows as one key."""
     e = events(spark, d).select("event_id", "t", F.lit(0).alias("all"))
@@ -211,7 +218,7 @@ def ttl_expiry(spark, d):
     return e.withColumn("next", F.lead("t").over(w)).join(F.broadcast(end)).where(F.coalesce("next", "end") - F.col("t") > 24 * H).select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (vote_counts, vote_winner, vote_confidence, vote_leader, latest_per_key, seen_span, per_key_summary, latency_stats, ordered_concat, rate_bucket, topk_per_group, relative_topk, trailing_extent, stationary_filter, gap_sessions, interval_merge_count, change_points, locf_fill, run_collapse, tumbling_rate, tick_gap_fill, tick_sample_asof, ordered_scan, running_changes, modulo_sample, gate_filter, eligibility_gate, min_interval_throttle, throttle_of_one_key, bounded_queue_drop, event_log_json, summary_upsert, first_report, latest_reading_wins, ttl_expiry)}
+QUERIES = {f.__name__: f for f in (vote_counts, vote_winner, vote_confidence, vote_leader, latest_per_key, seen_span, per_key_summary, latency_stats, ordered_concat, rate_bucket, topk_per_group, relative_topk, trailing_extent, stationary_filter, gap_sessions, interval_merge_count, change_points, locf_fill, run_collapse, tumbling_rate, tick_gap_fill, tick_sample_asof, ordered_scan, running_changes, modulo_sample, gate_filter, eligibility_gate, min_interval_throttle, exact_percentiles, throttle_of_one_key, bounded_queue_drop, event_log_json, summary_upsert, first_report, latest_reading_wins, ttl_expiry)}
 
 _WIN = """SELECT user_id, max(n) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second, sum(n) AS total, max(v) FILTER (r = 1) AS v FROM
  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, v) AS r FROM (SELECT user_id, {v} AS v, count(*) AS n FROM events GROUP BY 1, 2)) GROUP BY 1"""
@@ -248,6 +255,7 @@ SQL = {
     "min_interval_throttle": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  f AS (SELECT user_id, event_id, n, t AS last, true AS ok FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - f.last >= {24 * H} THEN e.t ELSE f.last END, e.t - f.last >= {24 * H} FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
  SELECT user_id, event_id FROM f WHERE ok""",
+    "exact_percentiles": "SELECT l_returnflag, share, round(CASE share WHEN 0.01 THEN p[1] WHEN 0.5 THEN p[2] WHEN 0.95 THEN p[3] ELSE p[4] END, 4) AS price FROM (SELECT l_returnflag, quantile_cont(l_extendedprice::DOUBLE, [0.01, 0.5, 0.95, 0.995]) AS p, unnest([0.01, 0.5, 0.95, 0.995]::DOUBLE[]) AS share FROM lineitem GROUP BY l_returnflag)",
     "throttle_of_one_key": f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS t FROM events),
  r AS (SELECT min({{t: t, event_id: event_id}}) AS x FROM e UNION ALL SELECT x FROM (SELECT min({{t: e.t, event_id: e.event_id}}) AS x FROM r JOIN e ON e.t >= r.x.t + {6 * H}) WHERE x IS NOT NULL) SELECT x.event_id AS event_id FROM r""",
     "bounded_queue_drop": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -38,6 +38,16 @@ def windowed_rates(stream: DataFrame, t: str, key: str, width: str = "6 hours",
     return stream.withWatermark(t, late).groupBy(F.window(t, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
+def told_once(stream: DataFrame, key: str, clock: str, late: str = "1 hour") -> DataFrame:
+    """The first row of each key that arrives, as a notification; later ones of that key within late of it are dropped, and rows that come behind the watermark too, which the progress of the query counts (late_rows)."""
+    return stream.withWatermark(clock, late).dropDuplicatesWithinWatermark([key])
+
+
+def late_rows(query) -> int:
+    """How many rows a query has dropped because they came behind its watermark, in the triggers that it still remembers."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """The event log as JSON lines, appended exactly once."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

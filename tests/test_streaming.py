@@ -91,3 +91,28 @@ def test_upsert_that_fails_before_its_manifest(spark, tmp_path, monkeypatch):
     assert table.read().first()["v"] == "a"
     table.merge(rows("b"), 1)
     assert table.read().first()["v"] == "b" and table.versions() == [0, 1]
+
+
+def test_told_once_and_late_rows(spark, tmp_path):
+    at = lambda hour: F.timestamp_seconds(F.lit(hour * 3600))
+    parts = [[(1, 10), (2, 10), (1, 10)], [(1, 11), (3, 40)], [(4, 5), (5, 41)], [(1, 42)]]
+    for k, part in enumerate(parts):
+        for n, hour in part:
+            spark.range(1).select(F.lit(n).cast("long").alias("k"), at(hour).alias("clock")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{k}"))
+    schema = "k long, clock timestamp"
+    import os
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    q = None
+    for k in range(len(parts)):
+        for i, f in enumerate((tmp_path / f"{k}").glob("*.parquet")):
+            shutil.copy(f, tmp_path / "in" / f"{k}-{i}.parquet")
+            os.utime(tmp_path / "in" / f"{k}-{i}.parquet", (1_600_000_000 + k * 10 + i,) * 2)
+        stream = hosts.told_once(hosts.event_stream(spark, str(tmp_path / "in"), schema, 100), "k", "clock", "2 hours")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if k == 2:
+            assert hosts.late_rows(q) == 1  # key 4 came 36 hours behind
+    told = sorted((r["k"], r["clock"].hour) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
+    assert [n for n, _ in told] == [1, 1, 2, 3, 5]  # the first key is told anew once its notification is old
