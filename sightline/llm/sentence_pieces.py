@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -24,7 +24,7 @@ from .common import map_rows
 
 SPACE = "▁"
 #: Pairs, and chunks with their ids, that a worker remembers; either memory is emptied when full, which changes no result.
-REMEMBERED, CHUNKS = 1 << 17, 1 << 19
+REMEMBERED, CHUNKS = 1 << 17, 1 << 18
 
 
 class PieceCodec:
@@ -48,7 +48,7 @@ class PieceCodec:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.raw: list[bytes] = [p.replace(SPACE, " ").encode() for p in self.pieces]
         self.bytes_of = {i: b for b, i in self.byte_id.items()}
         for i in range(n):
@@ -120,12 +120,13 @@ class PieceCodec:
             for i, ids in enumerate(found):
                 if ids is None:
                     found[i] = self._learned(chunks[i])
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), "<i4").tolist()
 
-    def _learned(self, chunk: str) -> list[int]:
+    def _learned(self, chunk: str) -> bytes:
+        """The ids of a chunk as little-endian int32, which take less memory than a list."""
         ids = self.known.get(chunk)
         if ids is None:
-            ids = self._any(chunk)
+            ids = np.array(self._any(chunk), "<i4").tobytes()
             if len(chunk) <= 32:
                 if len(self.known) >= CHUNKS:
                     self.known.clear()
