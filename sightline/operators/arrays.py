@@ -1,12 +1,7 @@
-"""Dense kernels: numpy on Arrow batches for images, higher-order functions for vectors.
-
-Pixels are arrays of bytes with a shape; kernels follow published definitions (union by 8-neighbours, 3x3 Laplacian,
-HSV bands, percentile stretch), so results match other libraries in property, not bit for bit.
-"""
+"""Kernels over arrays of numbers, as higher-order functions: shares, variance, quantiles, scaling. Results match published definitions in property, not bit for bit."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,50 +52,3 @@ def stretch(values: Column, low: float, high: float) -> Column:
 def minmax(values: Column) -> Column:
     ends = F.struct(F.array_min(values).alias("a"), F.array_max(values).alias("b"))
     return let(ends, lambda e: F.transform(values, lambda x: F.when(e["b"] > e["a"], (x - e["a"]) / (e["b"] - e["a"]) * 255.0).otherwise(0.0)))
-
-
-def red_ink_mask(image: np.ndarray) -> np.ndarray:
-    """Red pixels of an RGB image: hue near red, saturated and bright enough, red above the other channels by 12."""
-    rgb = image.astype(np.int32)
-    top, low = rgb.max(2), rgb.min(2)
-    span = np.maximum(top - low, 1)
-    r, g, b = (rgb[..., i] for i in range(3))
-    hue = np.where(top == r, (30 * (g - b) / span) % 180, np.where(top == g, 60 + 30 * (b - r) / span, 120 + 30 * (r - g) / span))
-    sat = np.where(top > 0, 255 * (top - low) / np.maximum(top, 1), 0)
-    # The hues, saturations, brightness and lead of red ink.
-    pink = (hue >= 158) & (sat >= 32) & (top >= 100)
-    red = (hue <= 6) & (sat >= 90) & (top >= 100)
-    return (pink | red) & (r - np.maximum(g, b) > 12)
-
-
-def components(mask: np.ndarray) -> list[dict]:
-    """8-connected regions: box, area and centre, by label propagation over runs of rows."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        wide = np.pad(labels, 1)
-        best = np.max([wide[dy : dy + mask.shape[0], dx : dx + mask.shape[1]] for dy in range(3) for dx in range(3)], axis=0)
-        best = np.where(mask, best, 0)
-        if (best == labels).all():
-            break
-        labels = best
-    out = []
-    for v in np.unique(labels[labels > 0]):
-        y, x = np.nonzero(labels == v)
-        out.append({"x0": int(x.min()), "y0": int(y.min()), "x1": int(x.max()) + 1, "y1": int(y.max()) + 1, "area": len(x), "cx": float(x.mean()), "cy": float(y.mean())})
-    return sorted(out, key=lambda c: -c["area"])
-
-
-def sharpness(grey: np.ndarray) -> float:
-    """Population variance of the 4-neighbour Laplacian, edges mirrored; 0 of an empty image."""
-    if not grey.size:
-        return 0.0
-    g = np.pad(grey.astype(float), 1, mode="reflect" if min(grey.shape) > 1 else "edge")
-    return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
-
-
-def ctc_text(probabilities: np.ndarray, charset: list[str]) -> tuple[str, float]:
-    """Best path: repeats once, index 0 is blank, indices beyond the charset are skipped; mean probability of what is kept."""
-    p = probabilities.reshape(-1, probabilities.shape[-1])
-    best = p.argmax(1)
-    keep = (best != 0) & (best < len(charset)) & (best != np.concatenate([[-1], best[:-1]]))
-    return "".join(charset[i] for i in best[keep]), float(p.max(1)[keep].mean()) if keep.any() else 0.0

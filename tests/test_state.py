@@ -1,12 +1,10 @@
 """Golden cases of the folds, the registry and the text functions."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as G
 from sightline.functions import text as X
-from sightline.operators import arrays as A
 from sightline.operators import joins as J
 from sightline.operators import votes, windows
 from sightline.operators.folds import fold_groups
@@ -132,17 +130,3 @@ def test_fold_groups_streams_in_order(spark):
     df = spark.createDataFrame([(i % 50, 1000 - i) for i in range(1000)], "k long, t long")
     out = fold_groups(df, ["k"], ["t"], [], lambda key, rows: [(key[0], [t for (t,) in rows])], "k long, ts array<long>").collect()
     assert len(out) == 50 and all(r["ts"] == sorted(r["ts"]) and len(r["ts"]) == 20 for r in out)
-
-
-def test_kernels():
-    step = np.eye(13)[[5, 5, 0, 8, 0, 2, 0, 2]] * 0.9
-    charset = ["", *"0123456789.-"]
-    assert A.ctc_text(step, charset)[0] == "4711"
-    assert A.ctc_text(np.eye(13)[[0, 0]], charset) == ("", 0.0)
-    mask = np.zeros((5, 6), bool)
-    mask[0, 0] = mask[1, 1] = mask[4, 5] = True
-    assert [c["area"] for c in A.components(mask)] == [2, 1]
-    assert A.sharpness(np.full((8, 8), 7)) == 0.0 < A.sharpness(np.eye(8) * 255)
-    red = np.full((2, 2, 3), 232, np.uint8)
-    red[0, 0] = (220, 40, 60)
-    assert A.red_ink_mask(red).tolist() == [[True, False], [False, False]]
