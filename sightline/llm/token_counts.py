@@ -4,8 +4,9 @@ Offline, once per process, every vocabulary string that the pre-tokeniser can yi
 come out as one token are *proven*. While counting, a pre-token that is a proven string counts one without any merge;
 only the rest is merged, and short results are remembered.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; texts are never
-cut; extra columns are kept where count_tokens() adds its own, whose names it takes over.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results, rows without an id
+their own; texts are never cut; an empty table gives no rows; count_tokens() returns its four columns alone, whatever others
+the table has and whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ What one group holds is bounded by the block sizes whatever the input; nothing i
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a missing component counts
 as zero; rows with the query's own id are not its candidates; of repeated query ids the smallest vector asks; ties go
-to the smaller id; fewer than k candidates give fewer rows; an empty table gives none.
+to the smaller id; fewer than k candidates give fewer rows; an empty table gives none; rows without an id take no part;
+vectors may be of any and of different lengths; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

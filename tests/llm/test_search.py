@@ -41,3 +41,9 @@ def test_few_rows(spark, rows):
 def test_repeated_query_ids(spark):
     df = spark.createDataFrame([(0, [1.0], "", 0.0), (0, [0.5], "", 0.0), (1, [1.0], "", 0.0)], SCHEMA)
     assert [tuple(x) for x in s.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 128 * 256)]
+
+
+def test_null_ids_and_long_vectors(spark):
+    df = spark.createDataFrame([(None, [9.0], "x", 0.0), (0, [0.5] * 5000, "x", 0.0), (1, [1.0] * 3, "x", 0.0), (2, [1.0] * 5000, "x", 0.0)], SCHEMA)
+    assert [(x["vec_id"], x["score"]) for x in s.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(2, 5000 * 128 * 256), (1, 3 * 128 * 256)]
+    assert s.top_k(df.withColumn("id", F.lit(1)).withColumn("terms", F.lit("t")), F.col("vec_id") == 1).count() == 2

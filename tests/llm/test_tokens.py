@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sightline.llm import queries as q
+from sightline.llm import token_counts
 from sightline.llm.sentence_pieces import codec
 from sightline.llm.token_counts import counter
 
@@ -61,3 +62,11 @@ def test_queries_over_odd_documents(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     d = write(tmp_path, documents=frame(spark, {}))
     assert q.op7_token_counts(spark, d).count() == q.op3_sentence_pieces(spark, d).count() == 0
+
+
+def test_counts_of_empty_tables_and_clashing_columns(spark):
+    clash = frame(spark, [(1, "one two"), (None, None)]).withColumnsRenamed({"h": "n_bytes", "row": "n_tokens"})
+    got = token_counts.count_tokens(clash, public_tokenizers.path("byte_bpe_50k.json"))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted((x["n_bytes"], x["n_tokens"]) for x in got.collect()) == [(0, 0), (7, 2)]
+    assert token_counts.count_tokens(clash.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
