@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages from documents to token ids, each written as Parquet and read again."""
+"""The corpus pipeline: five stages from documents to token ids, each written as Parquet and read again.
+
+Null and empty texts pass the first stages: they are not toxic, have no lines and leak nothing; texts without words are one
+group of copies, of which the smallest doc_id stays. Rows without a doc_id are judged by their text and otherwise left
+alone. Ties go to the smaller doc_id; repeated rows of one id and text stay or go together. Extra columns stay up to the
+last stage, whatever their names. An empty table, or one without labels, gives an empty result or no toxic rows; without
+benchmark items nothing leaks. The tables labels and benchmark must be there, if only empty.
+"""
 
 from __future__ import annotations
 
