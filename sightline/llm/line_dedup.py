@@ -21,8 +21,11 @@ that repeat it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,20 +180,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines cut from the text; documents that keep no line go, those without lines stay."""
-    doc, version, dropped, cut_text = (free_name(n, docs) for n in ("doc", "version", "dropped", "cut_text"))
+    doc, version, dropped = (free_name(n, docs) for n in ("doc", "version", "dropped"))
     gone = sized(written(dropped_lines(docs, id_col, text_col))).toDF(doc, version, dropped)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(text, lines):
-            if text is None or lines is None:
-                return text
-            gone = set(lines)
-            kept = [x for i, x in enumerate(text.split("\n")) if i not in gone]
-            return "\n".join(kept) if any(map(line_words, kept)) else None
-
-        return pd.Series([one(t, d) for t, d in zip(texts, lines, strict=True)], dtype=object)
-
-    both = docs.join(gone, (docs[id_col] == gone[doc]) & (F.xxhash64(docs[text_col]) == gone[version]), "left")
-    out = both.withColumn(cut_text, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(cut(text_col, dropped))).where(F.col(dropped).isNull() | F.col(cut_text).isNotNull())
-    return out.select(*(F.col(cut_text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    def cut(text: str | None, lines: list[int] | None) -> str | None:
+        if text is None or lines is None:
+            return text
+        gone = set(lines)
+        kept = [x for i, x in enumerate(text.split("\n")) if i not in gone]
+        return "\n".join(kept) if any(map(line_words, kept)) else None
+
+    both = docs.join(gone, (docs[id_col] == gone[doc]) & (F.xxhash64(docs[text_col]) == gone[version]), "left").drop(doc, version)
+    at = docs.columns.index(text_col)
+    plain = both.toDF(*(f"c{i}" for i in range(len(both.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):  # few texts at a time are Python strings
+                part = batch.slice(low, 256)
+                lost = part.column(part.num_columns - 1)
+                if lost.null_count < part.num_rows:
+                    lists = lost.to_pylist()
+                    texts = pa.array([cut(t, x) for t, x in zip(part.column(at).to_pylist(), lists, strict=True)], part.schema.field(at).type)
+                    part = part.set_column(at, part.schema.field(at), texts).filter(pa.array([x is None or t for x, t in zip(lists, texts.is_valid().to_pylist(), strict=True)]))
+                yield part.select(range(part.num_columns - 1))
+
+    return plain.mapInArrow(run, plain.drop(plain.columns[-1]).schema).toDF(*docs.columns)
