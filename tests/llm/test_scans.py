@@ -400,6 +400,14 @@ def test_toxicity_held_out(spark, toxic_tables):
             assert texts[i][a:b].startswith("zorp")
 
 
+def test_toxicity_of_few_labels(spark, tmp_path):
+    texts = {i: words(i, 60 + i % 7 * 20) + (" zorp drang " if i % 6 == 0 else " you ") + words(i + 5000, 60) for i in range(50)}
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    rows = q.op10_toxicity(spark, write(tmp_path, documents=frame(spark, texts), labels=labels)).where("held_out").collect()
+    toxic, clean = ([r["score"] for r in rows if (r["doc_id"] % 6 == 0) == y] for y in (True, False))
+    assert len(toxic) >= 2 and len(clean) > 8 and min(toxic) > max(clean)
+
+
 def test_toxicity_without_labels(spark, tmp_path):
     d = write(tmp_path, documents=frame(spark, odd_texts()), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     rows = q.op10_toxicity(spark, d).collect()
