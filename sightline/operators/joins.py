@@ -41,7 +41,9 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], t: str, span: int
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([state.similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    pairs = list(zip(a, b, strict=True))
+    known = {p: state.similarity(*p) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype="float64")
 
 
 def sequence_ratio(a, b) -> Column:
@@ -62,6 +64,35 @@ def alike(a, b, least: float) -> Column:
     return (ratio_bound(a, b) >= least) & (sequence_ratio(a, b) >= least)
 
 
+def digits(text) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
+
+
+def digit_counts(text) -> Column:
+    """How often each digit occurs in a text of digits, six bits each in one long; null beyond 63 digits."""
+    times = (F.length(text) - F.length(F.replace(text, F.lit(str(d)), F.lit(""))) for d in range(10))
+    packed = reduce(Column.bitwiseOR, (F.shiftleft(n.cast("long"), 6 * d) for d, n in enumerate(times)))
+    return F.when(F.length(text) <= 63, packed)
+
+
+def first_alike(left: DataFrame, right: DataFrame, keys: list[str], t: str, row: str, reading: str, apart: str, span: int, least: float, name: str = "other_") -> DataFrame:
+    """row and <name>row: for each row id of left the first of right (by t, then row) of the same keys, at most span before it
+    or at it, with another id, another value of apart and a similarity of reading of at least `least` (above 0).
+
+    Of right rows that differ in their id alone the two smallest ids can be first, so only they are joined. Digits are
+    counted once per row: a pair costs a few operations on two longs, and the exact ratio is for what that bound leaves.
+    """
+    of = lambda df: df.select(*keys, t, row, apart, digits(F.col(reading)).alias("_digits")).where((F.col("_digits") != "") & F.col(row).isNotNull())
+    lowest = Window.partitionBy(*keys, apart, t, "_digits").orderBy(row)
+    b = of(right).distinct().withColumn("_r", F.row_number().over(lowest)).where("_r <= 2").drop("_r")
+    a, b = (df.withColumn("_counts", digit_counts(F.col("_digits"))) for df in (of(left), b))
+    common = reduce(Column.__add__, (F.least(*(F.shiftright(c, 6 * d).bitwiseAND(F.lit(63)) for c in ("_counts", f"{name}_counts"))) for d in range(10)))
+    bound = F.coalesce(2 * common / (F.length("_digits") + F.length(f"{name}_digits")), F.lit(1.0))
+    pairs = within(a, b, keys, t, span, name).where((F.col(apart) != F.col(name + apart)) & (F.col(row) != F.col(name + row)) & (bound >= least))
+    similar = (F.col("_digits") == F.col(f"{name}_digits")) | (sequence_ratio("_digits", f"{name}_digits") >= least)
+    return pairs.where(similar).groupBy(row).agg(F.min(F.struct(name + t, name + row))[name + row].alias(name + row))
+
+
 def first_in(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

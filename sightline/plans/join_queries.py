@@ -176,16 +176,20 @@ def sequence_ratio(spark, d):
     return o.select("o_orderkey", F.round(J.sequence_ratio(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")), 6).alias("ratio"))
 
 
+def readings(spark, d):
+    return events(spark, d).select("user_id", "event_id", "event_type", "t", F.round("value", 1).cast("string").alias("reading"))
+
+
 def twin_pairs(spark, d):
     """Rows with those of another type of their user in the day before."""
-    e = events(spark, d).select("user_id", "event_id", "event_type", "t", F.round("value", 1).cast("string").alias("reading"))
+    e = readings(spark, d)
     return J.within(e, e, ["user_id"], "t", 24 * H, "other_").where("event_type <> other_event_type AND event_id <> other_event_id")
 
 
 def similarity_twin_join(spark, d):
     """Each row with the first similar row of another type of its user in the day before."""
-    j = twin_pairs(spark, d).where(J.alike("reading", "other_reading", 0.8))
-    return J.first_in(j, ["event_id"], ["other_t", "other_event_id"]).select("event_id", "other_event_id")
+    e = readings(spark, d)
+    return J.first_alike(e, e, ["user_id"], "t", "event_id", "reading", "event_type", 24 * H, 0.8)
 
 
 def rekey_migrate(spark, d):

@@ -67,3 +67,17 @@ def test_few_pairs_reach_the_exact_ratio(spark):
     assert exact.where("bound >= 0.8").count() < 0.1 * exact.count()
     plan = pairs.where(joins.alike("reading", "other_reading", 0.8))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.rindex("Filter")  # the bound filters below it
+
+
+def test_copies_do_not_multiply_the_pairs_of_similar_twins(spark, monkeypatch):
+    rows = join_queries.readings(spark, DATA).where("user_id < 40")
+    one = rows.where("event_id % 7 <> 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("event_id", F.col("event_id") + F.col("k") * 1_000_000).drop("k")
+    odd = rows.where("event_id % 7 = 0").limit(60).withColumn("event_type", F.lit("odd"))  # ids that are there with another type, without an id, without digits
+    many = one.union(odd).union(odd.withColumn("event_type", F.lit("even"))).union(odd.withColumn("event_id", F.lit(None).cast("long"))).union(odd.withColumn("reading", F.lit("-"))).union(odd.withColumn("reading", F.lit("7" * 70))).cache()
+    pairs = joins.within(many, many, ["user_id"], "t", 24 * join_queries.H, "other_").where("event_type <> other_event_type AND event_id <> other_event_id")
+    want = joins.first_in(pairs.where(joins.alike("reading", "other_reading", 0.8)), ["event_id"], ["other_t", "other_event_id"]).select("event_id", "other_event_id")
+    seen, within = [], joins.within
+    monkeypatch.setattr(joins, "within", lambda *a: seen.append(within(*a)) or seen[0])
+    got = sorted(map(tuple, joins.first_alike(many, many, ["user_id"], "t", "event_id", "reading", "event_type", 24 * join_queries.H, 0.8).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+    assert seen[0].where("event_type <> other_event_type").count() < 0.4 * pairs.count()
