@@ -13,24 +13,27 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, remembered
 
 SPACE = "▁"
-#: Pairs, and chunks with their ids, that a worker remembers; either memory is emptied when full, which changes no result.
-REMEMBERED, CHUNKS = 1 << 17, 1 << 18
+#: Pairs, and chunks with their ids, that a worker remembers in two halves: a full half takes the place of the older one, from which what is met again returns. Neither changes a result.
+REMEMBERED, CHUNKS = 1 << 18, 1 << 19
+#: Marks before which a chunk is cut, after letters and digits that no piece joins with a mark.
+MARKS = ".,;:!?"
 
 
 class PieceCodec:
     """Encoder and decoder for a merge-type model with byte fallback, a dummy prefix and no other normalisation."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CHUNKS):
+        self.half = remember // 2
         model = sentencepiece.SentencePieceProcessor(model_file=path)  # only its vocabulary is read
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -41,14 +44,19 @@ class PieceCodec:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space inside: chunks can't be cut at spaces")
         self.pair: dict[tuple[str, str], bool] = {}
+        self.older_pair: dict[tuple[str, str], bool] = {}
         self.chars = frozenset(p for p in self.id if len(p) == 1)
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) == 1 or self._merge(p) == [p]:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        joined = {a for p in self.pieces for a, b in pairwise(p) if b in MARKS}  # never letters or digits here, but for a superscript
+        last = "".join(sorted(c for c in self.chars if c.isalnum() and c not in joined))
+        core = f" *(?>[^ \n{MARKS}]+)(?<=[{re.escape(last)}])(?=[{MARKS}])|" if last else ""
+        self.chunks = re.compile(f"{core} *[^ \n]+| +|\n").findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.raw: list[bytes] = [p.replace(SPACE, " ").encode() for p in self.pieces]
         self.bytes_of = {i: b for b, i in self.byte_id.items()}
         for i in range(n):
@@ -73,23 +81,29 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits(self, a: str, b: str) -> bool:
-        ok = self.pair.get((a, b))
+        ok = self.older_pair.get((a, b))
         if ok is None:
-            if len(self.pair) >= REMEMBERED:
-                self.pair.clear()
-            ok = self.pair[a, b] = self._merge(a + b) == [a, b]
+            ok = self._merge(a + b) == [a, b]
+        if len(self.pair) >= REMEMBERED // 2:
+            self.older_pair = self.pair
+            self.pair = {}
+        self.pair[a, b] = ok
         return ok
 
     def _chunk(self, text: str) -> list[int]:
         """The ids of a chunk whose characters all are pieces."""
         n = len(text)
         last: list[str | None] = [None] * (n + 1)
-        fits = self._fits
         for end, piece in self.automaton.iter(text):
-            if last[end + 1] is None:
-                start = end + 1 - len(piece)
-                if start == 0 or (before := last[start]) is not None and fits(before, piece):
-                    last[end + 1] = piece
+            end += 1
+            if last[end] is None:
+                start = end - len(piece)
+                if not start:
+                    last[end] = piece
+                elif (before := last[start]) is not None:
+                    ok = self.pair.get((before, piece))
+                    if ok or ok is None and self._fits(before, piece):
+                        last[end] = piece
         out, at = [], n
         while at:
             piece = last[at]
@@ -114,7 +128,7 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
+        chunks = self.chunks(" " + text.replace(SPACE, " "))  # spaces take less memory than what they stand for
         found = list(map(self.known.get, chunks))
         if None in found:
             for i, ids in enumerate(found):
@@ -126,10 +140,12 @@ class PieceCodec:
         """The ids of a chunk as little-endian int32, which take less memory than a list."""
         ids = self.known.get(chunk)
         if ids is None:
-            ids = np.array(self._any(chunk), "<i4").tobytes()
+            ids = self.older.get(chunk)
+            if ids is None:
+                ids = np.array(self._any(chunk.replace(" ", SPACE)), "<i4").tobytes()
             if len(chunk) <= 32:
-                if len(self.known) >= CHUNKS:
-                    self.known.clear()
+                if len(self.known) >= self.half:
+                    self.older, self.known = self.known, {}
                 self.known[chunk] = ids
         return ids
 
@@ -157,10 +173,9 @@ class PieceCodec:
             return "".join(out)
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    """One codec per process and model."""
-    return PieceCodec(path)
+def codec(path: str, remember: int = CHUNKS) -> PieceCodec:
+    """One codec per process and model, kept while its tasks follow each other."""
+    return remembered(PieceCodec, path, remember)
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,17 +187,17 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         for key, text in source:
             yield key, to_ids(text or "")
 
-    return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, ids array<int>", rows, flush=200)
+    return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, ids array<int>", rows, flush=200, keeps=True)
 
 
-def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids and the text decoded from the ids, in one pass."""
+def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", remember: int = CHUNKS) -> DataFrame:
+    """id_col, ids and the text decoded from the ids, in one pass. remember: chunks that a worker remembers, which changes no result."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def rows(source):
-        c = codec(model)
+        c = codec(model, remember)
         for key, text in source:
             ids = c.encode(text or "")
             yield key, ids, c.decode(ids)
 
-    return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, ids array<int>, decoded string", rows, flush=200)
+    return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, ids array<int>, decoded string", rows, flush=200, keeps=True)

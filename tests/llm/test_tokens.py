@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sightline.llm import queries as q
-from sightline.llm import token_counts
-from sightline.llm.sentence_pieces import codec
+from sightline.llm import common, token_counts
+from sightline.llm.sentence_pieces import PieceCodec, codec
 from sightline.llm.token_counts import counter
 
 from .helpers import frame, odd_texts, write
@@ -70,3 +70,32 @@ def test_counts_of_empty_tables_and_clashing_columns(spark):
     assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert sorted((x["n_bytes"], x["n_tokens"]) for x in got.collect()) == [(0, 0), (7, 2)]
     assert token_counts.count_tokens(clash.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_marks_are_cut_off_only_where_no_piece_joins_them():
+    c = codec(PIECES)
+    for text in ("Word, word. WORD!! 1,234,567.89 x²., _a_. __b__, 'c'. \"d\", (e). f::g :: h;i é. 日本. ß! a.b.c ... .x", " a,b  c.▁d ,, e ▁.", "\n.a\n,b.\n", "²,²."):
+        assert c.encode(text) == SP.encode(text) and c.decode(SP.encode(text)) == SP.decode(SP.encode(text))
+    assert {"word", "."} <= set(c.chunks("word.")) and c.chunks("x².") == ["x²."]
+
+
+def test_what_is_met_again_stays_known():
+    c = PieceCodec(PIECES, 64)
+    for i in range(500):
+        assert c.encode(f"always w{i}q") == SP.encode(f"always w{i}q")
+        assert " always" in c.known or " always" in c.older
+    assert len(c.known) <= 32 and len(c.older) <= 32
+
+
+def test_a_worker_forgets_what_other_stages_remembered(spark):
+    def held(rows):
+        list(rows)
+        yield (len(common._memory),)
+
+    def learn(rows):
+        common.remembered(dict)
+        return held(rows)
+
+    df = spark.range(8).coalesce(1)
+    count = lambda f, keeps: common.map_rows(df, ["id"], "n int", f, keeps=keeps).first()["n"]
+    assert count(learn, True) == 1 and count(held, False) == 0
