@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, sized, skew_join, written
+from .common import forgotten, free_name, map_rows, released, sized, skew_join, written
 
 #: From so many words on a line also goes if it is one edit away; of fewer words one is too large a part.
 NEAR_WORDS = 8
@@ -195,6 +195,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     plain = both.toDF(*(f"c{i}" for i in range(len(both.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):  # few texts at a time are Python strings
                 part = batch.slice(low, 256)
@@ -204,5 +205,6 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     texts = pa.array([cut(t, x) for t, x in zip(part.column(at).to_pylist(), lists, strict=True)], part.schema.field(at).type)
                     part = part.set_column(at, part.schema.field(at), texts).filter(pa.array([x is None or t for x, t in zip(lists, texts.is_valid().to_pylist(), strict=True)]))
                 yield part.select(range(part.num_columns - 1))
+        released()
 
     return plain.mapInArrow(run, plain.drop(plain.columns[-1]).schema).toDF(*docs.columns)

@@ -14,6 +14,8 @@ from . import decontamination, line_dedup, sentence_pieces, simhash, toxicity
 from .common import free_name, sized, table, written
 
 TOXIC_FROM = 0.7
+#: Fewer than the operator alone: the executors' heap has grown in the stages before.
+CHUNKS = 1 << 17
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +45,5 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every row; other columns end here. Null texts have no ids."""
-    out = sentence_pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = sentence_pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), remember=CHUNKS)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
