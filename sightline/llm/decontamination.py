@@ -36,6 +36,7 @@ WINDOW, LITERALS, RUN, BITS = 8, 3, 13, 1 << 22
 UNITS = frozenset("% € $ £ ° km m cm mm mi kg g mg lb lbs oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks year years mile miles meter meters metre metres gram grams liter liters litre litres dollar dollars euro euros cent cents percent degrees".split())
 _tokens = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%€$£°]").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWER = {j: np.uint64(pow(int(_BASE), j, 1 << 64)) for j in range(1, WINDOW + 1)}
 LITERAL, NUMBER, NAME, UNIT = range(4)
 _REMEMBERED = 1 << 18
 
@@ -53,33 +54,33 @@ class Templates:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes, self.kinds = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int8)
         self.slot = np.array([xxhash.xxh64_intdigest(f"\0{k}") for k in range(4)], np.uint64)
 
-    def _new(self, token: str) -> int:
-        if len(self.known) >= _REMEMBERED:
-            self.known.clear()
-            self.hashes.clear()
-            self.kinds.clear()
-        at = self.known[token] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(token.lower()))
-        self.kinds.append(token_kind(token))
-        return at
+    def _learn(self, tokens: set[str]) -> None:
+        low = len(self.known)
+        self.known.update(zip(tokens, range(low, low + len(tokens)), strict=True))
+        if len(self.known) > len(self.hashes):
+            size = max(len(self.known), 2 * len(self.hashes))
+            self.hashes, self.kinds = (np.concatenate([x, np.zeros(size - len(x), x.dtype)]) for x in (self.hashes, self.kinds))
+        self.hashes[low : len(self.known)] = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+        self.kinds[low : len(self.known)] = list(map(token_kind, tokens))
 
     def windows(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens and kinds; by first token the hashes of the windows' templates and of their lower-cased tokens, and which windows have enough words."""
         tokens = _tokens(text)
         if len(tokens) < WINDOW:
             return tokens, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        known, pairs = self.known, []
-        for t in tokens:
-            at = known.get(t)
-            if at is None:
-                at = self._new(t)
-            pairs.append((self.hashes[at], self.kinds[at]))
-        values = np.array([p[0] for p in pairs], np.uint64)
-        kinds = np.array([p[1] for p in pairs], np.int8)
+        at = list(map(self.known.get, tokens))
+        if None in at:
+            if len(self.known) >= _REMEMBERED:
+                self.known.clear()
+                self.hashes, self.kinds = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int8)
+                at = [None] * len(tokens)
+            self._learn({t for t, i in zip(tokens, at, strict=True) if i is None})
+            at = list(map(self.known.__getitem__, tokens))
+        at = np.fromiter(at, np.int64, len(at))
+        values, kinds = self.hashes[at], self.kinds[at]
         kinds[(kinds == UNIT) & ~np.concatenate([[False], kinds[:-1] == NUMBER])] = LITERAL
         slots = np.where(kinds == LITERAL, values, self.slot[kinds])
         n = len(tokens) - WINDOW + 1
@@ -88,15 +89,18 @@ class Templates:
 
 
 def _rolled(values: np.ndarray, n: int, seed: int) -> np.ndarray:
-    h = np.full(n, seed, np.uint64)
-    for j in range(WINDOW):
-        h = h * _BASE + values[j : j + n]
+    """Polynomial hashes of n windows of WINDOW (a power of two) values, from those of half the width."""
+    h, width = values, 1
+    while width < WINDOW:
+        h = h[:-width] * _POWER[width] + h[width:]
+        width *= 2
+    h = h[:n] + _POWER[WINDOW] * np.uint64(seed)
     h ^= h >> np.uint64(31)
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _let_through(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = (h >> np.uint64(40)) % np.uint64(BITS)
+    bit = (h >> np.uint64(40)) & np.uint64(BITS - 1)
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sightline.llm import decontamination as dc
@@ -445,3 +446,18 @@ def test_scores_do_not_depend_on_files_or_cores(spark, monkeypatch):
         for i, (score, base, known) in rows[1].items():
             assert rows[parts][i] == (pytest.approx(score, rel=1e-9), pytest.approx(base, rel=1e-9), known)
     assert lm.shards(frame(spark, texts), 4001).rdd.getNumPartitions() == 11
+
+
+def test_windows_of_tokens_are_hashed_and_remembered_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(dc, "_REMEMBERED", 50)
+    t, base, part = dc.Templates(), int(dc._BASE), (1 << 64) - 1
+    for seed in range(40):
+        tokens, kinds, _, plain, _ = t.windows(words(seed, 30) + " Paris 12 km Rome km")
+        want = []
+        for at in range(len(tokens) - 7):
+            h = 1
+            for w in tokens[at : at + 8]:
+                h = (h * base + xxhash.xxh64_intdigest(w.lower())) & part
+            want.append((h ^ h >> 31) * 0xD6E8FEB86659FD93 & part)
+        assert plain.tolist() == want
+        assert kinds[-5:].tolist() == [dc.NAME, dc.NUMBER, dc.UNIT, dc.NAME, dc.LITERAL]
