@@ -24,14 +24,13 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_rows
+from .common import map_rows, remembered
 
 #: Tokens after which a string ends with its document; bounds memory and the work of a retry, not the result's size.
 STRING = 1 << 19
@@ -51,6 +50,13 @@ _SPACE = frozenset(b" \t\n\v\f\r")
 _STOPS = tuple(s.encode() for s in (".", "!", "?", "。", "！", "？", '."', '!"', '?"', ".)", "!)", "?)", ".”", "!”", "?”"))
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(LONGEST + 1)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) <= LONGEST else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32, word by word.
 
@@ -86,7 +92,7 @@ class WordEncoder:
                 new = {b"", *(part for pair in split.values() for part in pair)}
             order = list(new)
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
-            self.cores.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(order, found, strict=True))
+            self.cores.update((w, _packed(e.ids)) for w, e in zip(order, found, strict=True))
         cores, fresh = self.cores, {}
         for w, (core, tail) in split.items():
             ids = cores[core] + cores[tail] if tail else cores[core]
@@ -134,10 +140,9 @@ def _slices(raw: bytes) -> Iterator[bytes]:
     yield raw[at:] if at else raw
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
-    """One encoder per process and vocabulary."""
-    return WordEncoder(path)
+    """One encoder per process and vocabulary, kept while its tasks follow each other."""
+    return remembered(WordEncoder, path)
 
 
 def places(lengths: list[int], ends: list[np.ndarray], room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,4 +245,4 @@ def pack(df: DataFrame, vocabulary: str, room: int = 4096, closing: int = 2, id_
         yield from string.pieces(sequence)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return map_rows(df, [id_col, text_col], schema, rows)
+    return map_rows(df, [id_col, text_col], schema, rows, keeps=True)
