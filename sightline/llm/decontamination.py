@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, sized, written
+from .common import Numbers, free_name, map_rows, sized, written
 
 WINDOW, LITERALS, RUN, BITS = 8, 3, 13, 1 << 22
 #: Units that count as such directly after a number.
@@ -53,33 +53,31 @@ class Templates:
     """Template tokens of texts, with a memory of tokens seen."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.hashes, self.kinds = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int8)
         self.slot = np.array([xxhash.xxh64_intdigest(f"\0{k}") for k in range(4)], np.uint64)
 
-    def _learn(self, tokens: set[str]) -> None:
-        low = len(self.known)
-        self.known.update(zip(tokens, range(low, low + len(tokens)), strict=True))
+    def _learn(self, tokens: list[str]) -> None:
+        """Hashes and kinds of the tokens that were numbered last."""
+        low, lower = len(self.known) - len(tokens), [t.lower() for t in tokens]
         if len(self.known) > len(self.hashes):
             size = max(len(self.known), 2 * len(self.hashes))
             self.hashes, self.kinds = (np.concatenate([x, np.zeros(size - len(x), x.dtype)]) for x in (self.hashes, self.kinds))
-        self.hashes[low : len(self.known)] = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
-        self.kinds[low : len(self.known)] = list(map(token_kind, tokens))
+        self.hashes[low : len(self.known)] = list(map(xxhash.xxh64_intdigest, lower))
+        # most are plain words: ASCII, no capital, no digit, no unit
+        self.kinds[low : len(self.known)] = [LITERAL if t == s and t[0] > "9" and t not in UNITS and t.isascii() else token_kind(t) for t, s in zip(tokens, lower, strict=True)]
 
     def windows(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens and kinds; by first token the hashes of the windows' templates and of their lower-cased tokens, and which windows have enough words."""
         tokens = _tokens(text)
         if len(tokens) < WINDOW:
             return tokens, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        at = list(map(self.known.get, tokens))
-        if None in at:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-                self.hashes, self.kinds = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int8)
-                at = [None] * len(tokens)
-            self._learn({t for t, i in zip(tokens, at, strict=True) if i is None})
-            at = list(map(self.known.__getitem__, tokens))
-        at = np.fromiter(at, np.int64, len(at))
+        if len(self.known) >= _REMEMBERED:
+            self.known.clear()
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        if self.known.fresh:
+            self._learn(self.known.fresh)
+            self.known.fresh.clear()
         values, kinds = self.hashes[at], self.kinds[at]
         kinds[(kinds == UNIT) & ~np.concatenate([[False], kinds[:-1] == NUMBER])] = LITERAL
         slots = np.where(kinds == LITERAL, values, self.slot[kinds])

@@ -461,3 +461,10 @@ def test_windows_of_tokens_are_hashed_and_remembered_as_one_by_one(monkeypatch):
             want.append((h ^ h >> 31) * 0xD6E8FEB86659FD93 & part)
         assert plain.tolist() == want
         assert kinds[-5:].tolist() == [dc.NAME, dc.NUMBER, dc.UNIT, dc.NAME, dc.LITERAL]
+
+
+def test_kinds_of_remembered_tokens_are_those_of_each():
+    tokens = ["word", "Name", "WORD", "iPod", "km", "Km", "KM", "12", "1,5", "٣", "%", "€", "é", "Éa", "𝐀b", "ǅa", "A", "a"]
+    t = dc.Templates()
+    t.windows(" ".join(tokens))
+    assert {x: t.kinds[i] for x, i in t.known.items()} == {x: dc.token_kind(x) for x in dc._tokens(" ".join(tokens))} and set(tokens) <= set(t.known)
