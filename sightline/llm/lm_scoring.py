@@ -48,7 +48,7 @@ MIN_BITS, MAX_BITS, STRIP = 16, 22, 1 << 16
 #: Counts in tasks are 16-bit logarithms, STEPS to a doubling: exact where small, else within 0.02 %.
 STEPS = 2048
 #: Tokens of the texts that are laid out together and of a step of learning; texts that advance together.
-BATCH_TOKENS, STEP_TOKENS, LANES = 1 << 18, 2048, 64
+BATCH_TOKENS, STEP_TOKENS, LANES = 1 << 16, 2048, 64
 #: Tokens of a shard, which is learned from in one go.
 SHARD = 1 << 22
 #: A text is scored in blocks: the first of so many tokens, each next one twice as long, up to the second.

@@ -468,3 +468,10 @@ def test_kinds_of_remembered_tokens_are_those_of_each():
     t = dc.Templates()
     t.windows(" ".join(tokens))
     assert {x: t.kinds[i] for x, i in t.known.items()} == {x: dc.token_kind(x) for x in dc._tokens(" ".join(tokens))} and set(tokens) <= set(t.known)
+
+
+def test_batches_of_texts_are_bounded():
+    """A learning or scoring task lays out at most BATCH_TOKENS and one text at a time."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(3000))) for i in range(60)]
+    sizes = [sum(len(ids) for *_, ids in held) for held, _ in lm._batches(iter(texts))]
+    assert sum(sizes) == 60 * 3001 and max(sizes) <= (1 << 16) + 3001
