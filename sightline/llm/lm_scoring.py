@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -424,12 +425,14 @@ def learn_online(coder: Coder, bits: int, source):
 
 
 def shards(texts: DataFrame, n: int) -> DataFrame:
-    """texts(text) of n tokens dealt by a hash into shards of about SHARD tokens, in the order of that hash: the same shards however the table is stored and whatever the cluster."""
-    return texts.select("text", F.xxhash64("text").alias("h")).repartition(max(1, -(-n // SHARD)), "h").sortWithinPartitions("h", "text").select("text")
+    """shard and text: texts(text) of n tokens dealt by a hash into shards of about SHARD tokens, in the order of that hash: the same shards however the table is stored, whatever the cluster and its number of partitions. A task can hold several shards, or none."""
+    number = max(1, -(-n // SHARD))
+    dealt = texts.select("text", F.xxhash64("text").alias("h")).withColumn("shard", F.pmod(F.hash("h"), F.lit(number)))
+    return dealt.repartition(number, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
 
 
 def _learn(texts: DataFrame, n: int, coder, bits: int) -> tuple[Packed, np.ndarray, np.ndarray]:
-    """The count tables, the weights and the guesses' record of texts(text) of n tokens. A task learns from one shard, and a lost one is all that is learned again."""
+    """The count tables, the weights and the guesses' record of texts(text) of n tokens. Each shard is learned from on its own."""
 
     def add(pdf):
         import pandas as pd
@@ -439,7 +442,11 @@ def _learn(texts: DataFrame, n: int, coder, bits: int) -> tuple[Packed, np.ndarr
             total += np.frombuffer(zlib.decompress(v), np.uint32)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "v": [zlib.compress(coded(total).data, 1)]})
 
-    parts = map_rows(shards(texts, n), ["text"], "part int, v binary, seen double, w array<double>, agree array<bigint>", lambda rows: learn_online(coder.value, bits, rows), flush=16)
+    def learned(rows):
+        for _, shard in groupby(rows, lambda r: r[0]):
+            yield from learn_online(coder.value, bits, ((text,) for _, text in shard))
+
+    parts = map_rows(shards(texts, n), ["shard", "text"], "part int, v binary, seen double, w array<double>, agree array<bigint>", learned, flush=16)
     parts = written(parts)
     summed = parts.where("part >= 0").select("part", "v").groupBy("part").applyInPandas(add, "part int, v binary")
     packed = Packed(bits, {r["part"]: bytes(r["v"]) for r in summed.toLocalIterator()})

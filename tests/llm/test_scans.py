@@ -448,6 +448,18 @@ def test_scores_do_not_depend_on_files_or_cores(spark, monkeypatch):
     assert lm.shards(frame(spark, texts), 4001).rdd.getNumPartitions() == 11
 
 
+def test_shards_are_the_same_in_more_partitions(spark, monkeypatch):
+    """Where the session deals texts to more partitions, no more shards are learned from, each with its own tables."""
+    monkeypatch.setattr(lm, "SHARD", 400)
+    df = frame(spark, {i: words(i, 30 + i % 50, 90) for i in range(120)})
+    of = {r["text"]: r["shard"] for r in lm.shards(df, 4001).collect()}
+    plain = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *cols: plain(self, max(n, 61), *cols))
+    rows = lm.shards(df, 4001).withColumn("at", F.spark_partition_id()).collect()
+    assert {r["text"]: r["shard"] for r in rows} == of and set(of.values()) == set(range(11))
+    assert len({(r["shard"], r["at"]) for r in rows}) == 11
+
+
 def test_windows_of_tokens_are_hashed_and_remembered_as_one_by_one(monkeypatch):
     monkeypatch.setattr(dc, "_REMEMBERED", 50)
     t, base, part = dc.Templates(), int(dc._BASE), (1 << 64) - 1
