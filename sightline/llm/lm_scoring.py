@@ -27,8 +27,11 @@ are always spelled; extra columns are ignored, and none of their names clashes.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
-from itertools import groupby
+from functools import cached_property
+from itertools import chain, groupby, repeat
+from os.path import commonprefix
 
 import numpy as np
 import xxhash
@@ -54,6 +57,8 @@ BATCH_TOKENS, STEP_TOKENS, LANES = 1 << 16, 2048, 64
 SHARD = 1 << 22
 #: A text is scored in blocks: the first of so many tokens, each next one twice as long, up to the second.
 BLOCKS = 64, 1024
+#: Distinct words that a task counts before it hands them over.
+COUNTED = 1 << 18
 #: Bits after which a task hands its counts over, so that no 32-bit count can overflow.
 FLUSH_BITS = 1 << 31
 RATE, FIRST_RATE = 0.02, 0.05
@@ -128,19 +133,27 @@ class Tree:
 
 @dataclass
 class Laid:
-    """The distinct words of a batch as bits: per word where its bits start and how many, and its leaf (or -1); per bit its value, its node's log odds, its state by table and its place in a group of slots, what tells it from all other bits, and whether it is a word's own bit."""
+    """The distinct words of a batch as symbols: per word its leaf (or -1), its bits, where its symbols start and how many, and two hashes; per symbol its number, its contexts by table, and whether it is a word's own."""
 
-    start: np.ndarray
-    size: np.ndarray
+    words: list[bytes]
     leaf: np.ndarray
-    bit: np.ndarray
-    odds: np.ndarray
-    state: list[np.ndarray]
-    place: np.ndarray
-    ident: np.ndarray
-    own: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
     hashes: np.ndarray
     tails: np.ndarray
+    symbols: np.ndarray
+    inside: list[np.ndarray]
+    own: np.ndarray
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its count, which is 1 or more, one after the other."""
+    ends = np.cumsum(counts)
+    steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    steps[:1] = starts[:1]
+    steps[ends[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
+    return np.cumsum(steps, out=steps)
 
 
 class Coder:
@@ -154,17 +167,36 @@ class Coder:
         self.trees = Tree.of(np.append(self.counts, other + 1)), Tree.of(letters)
         self._lay_trees()
 
+    def _paths(self) -> tuple[np.ndarray, ...]:
+        """Tree.paths() of both trees, the second's behind the first's."""
+        one, two = (t.paths() for t in self.trees)
+        inner = len(self.trees[0].odds)
+        add = len(one[2]), 0, inner, 0, inner, 0
+        return tuple(np.concatenate([a, b + n if n else b]) for a, b, n in zip(one, two, add, strict=True))
+
     def _lay_trees(self):
         self.number = {w: i for i, w in enumerate(self.leaves)}
         self.escape = len(self.leaves)
-        (s, n, nodes, bits, group, place), (s2, n2, nodes2, bits2, group2, place2) = (t.paths() for t in self.trees)
-        inner = len(self.trees[0].odds)
-        self.start, self.length = np.concatenate([s, s2 + len(nodes)]), np.concatenate([n, n2])
-        self.nodes, self.group = np.concatenate([nodes, nodes2 + inner]), np.concatenate([group, group2 + inner])
-        self.bits, self.place = np.concatenate([bits, bits2]), np.concatenate([place, place2])
+        self.start, self.length, nodes, bits, group, place = self._paths()
         self.odds = np.concatenate([t.odds for t in self.trees])
+        # by bit of the paths: its node's log odds; and its value, its place in its group and its part of the gate in one byte
+        self.bit_odds = self.odds[nodes]
+        depth = np.arange(len(bits)) - np.repeat(self.start, self.length)
+        gate = np.where(np.arange(len(bits)) < self.start[self.escape + 1], (depth > 2).astype(np.int8) + (depth > 7), 3)
+        self.told = (bits | place << 1 | gate << GROUP + 1).astype(np.uint8)
+        # by group of slots on the paths: what tells it in hashes
+        self.groups = -(-self.length // GROUP)
+        self.group_start = np.cumsum(self.groups) - self.groups
+        self.group_hash = (group[place == 1].astype(np.uint64) + np.uint64(1)) * _MIX2
+        # by symbol: the first 64 bits of its path; a longer one takes more than 10^13 tokens
+        self.code = np.zeros(len(self.length), np.uint64)
+        near = depth < 64
+        np.bitwise_or.at(self.code, np.repeat(np.arange(len(self.length)), self.length)[near], bits[near].astype(np.uint64) << (63 - depth[near]).astype(np.uint64))
         self.hashes, self.tails = (np.fromiter(map(h, self.leaves), np.uint64, len(self.leaves)) for h in (word_hash, tail_hash))
 
+    # by bit of the paths, each when first asked for
+    nodes, bits, group, place = (cached_property(lambda self, i=i: self._paths()[i]) for i in (2, 3, 4, 5))
+
     def __getstate__(self):
         return self.leaves, self.counts, self.trees
 
@@ -173,7 +205,7 @@ class Coder:
         self._lay_trees()
 
     def lay(self, words: list[bytes]) -> Laid:
-        leaf = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        leaf = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         raw = [words[i] + CLOSE for i in np.flatnonzero(leaf < 0).tolist()]
         count = np.ones(len(words), np.int64)
         count[leaf < 0] += np.fromiter(map(len, raw), np.int64, len(raw))
@@ -190,16 +222,25 @@ class Coder:
         before = [np.where(place > back, np.concatenate([np.zeros(min(back, len(value)), np.uint64), value[:-back]]), np.uint64(0)) for back in (1, 2, 3)]
         near = before[0] * _MIX2 + before[1] * _MIX3
         contexts = near, near + before[2] * _SALTS[0], run[:-1] - run[np.repeat(first, count)] + place.astype(np.uint64) * _MIX3
-        reps = self.length[symbols]
-        at = np.repeat(self.start[symbols] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-        node, group = self.nodes[at], (self.group[at].astype(np.uint64) + np.uint64(1)) * _MIX2
-        inside = [np.repeat(np.where(spelled, h, np.uint64(0)), reps) for h in contexts]
-        state = [h + group + salt for h, salt in zip(inside, _SALTS, strict=True)]
-        ident = inside[-1] + (node.astype(np.uint64) + np.uint64(1)) * _MIX3
-        size = np.add.reduceat(reps, first) if len(first) else count
+        inside = [np.where(spelled, h, np.uint64(0)) + salt for h, salt in zip(contexts, _SALTS, strict=True)]
+        size = np.add.reduceat(self.length[symbols], first) if len(first) else count
         hashes, tails = self.hashes.take(leaf, mode="clip"), self.tails.take(leaf, mode="clip")
         hashes[leaf < 0], tails[leaf < 0] = 1, np.fromiter((tail_hash(w[:-1]) for w in raw), np.uint64, len(raw))  # rare words before a word are alike
-        return Laid(np.cumsum(size) - size, size, leaf, self.bits[at], self.odds[node], state, self.place[at], ident, np.repeat(~spelled, reps), hashes, tails)
+        return Laid(words, leaf, size, first, count, hashes, tails, symbols, inside, ~spelled)
+
+    def agreed(self, laid: Laid, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bits two different words, given by number, have in common before they part."""
+        one, two = laid.leaf.take(a), laid.leaf.take(b)
+        differ = self.code.take(np.where(one < 0, self.escape, one)) ^ self.code.take(np.where(two < 0, self.escape, two))
+        differ &= ~(differ >> np.uint64(1))  # keeps the highest bit, and none that rounding could carry
+        out = 64 - np.frexp(differ.astype(np.float64))[1].astype(np.int64)
+        for i in np.flatnonzero((one < 0) & (two < 0)).tolist():
+            x, y = laid.words[a[i]] + CLOSE, laid.words[b[i]] + CLOSE
+            same = len(commonprefix([x, y]))
+            letters = np.frombuffer(x[: same + 1], np.uint8).astype(np.int64) + self.escape + 1
+            differ = int(self.code[letters[-1]]) ^ int(self.code[y[same] + self.escape + 1])
+            out[i] = self.length[self.escape] + self.length[letters[:-1]].sum() + 64 - differ.bit_length()
+        return out
 
 
 def word_hash(raw: bytes) -> int:
@@ -212,15 +253,16 @@ def tail_hash(raw: bytes) -> int:
 
 @dataclass
 class Tokens:
-    """The tokens of a batch of texts: word numbers; contexts by table; guesses (word numbers or -1) and their levels."""
+    """The tokens of a batch of texts: word numbers; contexts by table; by guess whether it is right, its level, and for how many bits it counts."""
 
     ids: np.ndarray
     before: np.ndarray
-    guess: np.ndarray
+    right: np.ndarray
     level: np.ndarray
+    told: np.ndarray
 
     @staticmethod
-    def of(laid: Laid, texts: list[np.ndarray]) -> Tokens:
+    def of(coder: Coder, laid: Laid, texts: list[np.ndarray]) -> Tokens:
         ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
         n, first = len(ids), np.repeat(np.cumsum(lengths) - lengths, lengths)
         at, none = np.arange(n), len(laid.size)
@@ -235,99 +277,128 @@ class Tokens:
         before[1], before[2] = (np.append(x, np.uint64(0))[one] for x in (laid.tails, laid.hashes))
         text = np.repeat(np.arange(len(texts)), lengths)
         key = text * (none + 1) + one
-        guess, level = np.empty((GUESSES, n), np.int64), np.empty((GUESSES, n), np.int64)
+        right, level, told = np.empty((GUESSES, n), bool), np.empty((GUESSES, n), np.int64), np.zeros((GUESSES, n), np.int64)
         for q, k in enumerate((key * (none + 1) + two, key)):
             order = np.argsort(k, kind="stable")
             same = k[order[1:]] == k[order[:-1]]
             past = np.full(n, -1)
             past[order[1:]] = np.where(same, order[:-1], -1)
-            guess[q] = np.where(past >= 0, ids[past], -1)
-            level[q] = (past >= 0).astype(np.int64) + ((past >= 0) & (guess[q][past] == ids[past]))
-        return Tokens(ids, before, guess, level)
+            guess = np.where(past >= 0, ids[past], -1)
+            right[q] = guess == ids
+            level[q] = (past >= 0).astype(np.int64) + ((past >= 0) & right[q][past])
+            told[q][right[q]] = laid.size.take(ids[right[q]])
+            wrong = np.flatnonzero((past >= 0) & ~right[q])
+            told[q][wrong] = coder.agreed(laid, ids[wrong], guess[wrong]) + 1
+        return Tokens(ids, before, right, level, told)
 
 
-def _bits_of(laid: Laid, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words by number: where their bits are, the place in ids of each bit, and its place in the word."""
-    n = laid.size[ids]
-    token = np.repeat(np.arange(len(ids)), n)
-    place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    return laid.start[ids][token] + place, token, place
+@dataclass
+class Inputs:
+    """Of the bits of some tokens: how many each token has; the inputs of the mixer, those of guesses with the places of the bits they count for; weight sets, bits, slots by table, and the guesses' cells with whether they are right."""
+
+    size: np.ndarray
+    dense: list[np.ndarray]
+    sparse: list[tuple[np.ndarray, np.ndarray]]
+    cell: np.ndarray
+    bit: np.ndarray
+    slots: list[np.ndarray]
+    record: list[tuple[np.ndarray, np.ndarray]]
 
 
 class Predictor:
-    """The inputs of the mixer and its weight sets, from tables of counts (pairs of numbers or of codes) and the guesses' record."""
-
-    def __init__(self, counts: np.ndarray, odds, levels: tuple[int, int], agree: np.ndarray):
-        self.counts, self.odds, self.levels = counts, odds, levels
-        self.pairs = counts.reshape(TABLES, -1).view(np.uint32 if counts.dtype == np.uint16 else np.uint64)
-        self.half = self.pairs.dtype.type(counts.dtype.itemsize * 8)
-        self.low = self.pairs.dtype.type((1 << int(self.half)) - 1)
-        self.shift = np.uint64(65 - counts.shape[1].bit_length() + GROUP)
+    """The inputs of the mixer and its weight sets, from the guesses' record and read(table, slots), which gives log odds and, of the last table, levels (else None)."""
+
+    def __init__(self, coder: Coder, bits: int, read, agree: np.ndarray):
+        self.coder, self.read = coder, read
+        self.shift = np.uint64(64 - bits + GROUP)
         self.agree = agree  # right and wrong by guess, level and stage
         self.sure = self._sure()
 
     def _sure(self) -> np.ndarray:
         return np.log((self.agree[..., 0] + 0.5) / (self.agree[..., 1] + 0.5)).astype(np.float32)
 
-    def inputs(self, laid: Laid, tokens: Tokens, which: np.ndarray):
-        """Of the bits of these tokens: inputs, weight sets, bits, tokens, slots by table, and the guesses' cells with whether they are right."""
-        at, token, place = _bits_of(laid, tokens.ids[which])
-        bit, own = laid.bit.take(at), laid.own.take(at)
-        s = np.zeros((INPUTS, len(at)), np.float32)
-        s[0] = laid.odds.take(at)
-        side, slots, seen = laid.place.take(at), [], None
+    def inputs(self, laid: Laid, tokens: Tokens, which: np.ndarray) -> Inputs:
+        coder, ids = self.coder, tokens.ids.take(which)
+        count, size = laid.count.take(ids), laid.size.take(ids)
+        at = spans(laid.first.take(ids), count)
+        token, symbol, own = np.repeat(np.arange(len(ids)), count), laid.symbols.take(at), laid.own.take(at)
+        groups = coder.groups.take(symbol)
+        there, hashes = np.repeat(np.arange(len(symbol)), groups), coder.group_hash.take(spans(coder.group_start.take(symbol), groups), mode="clip")
+        path = spans(coder.start.take(symbol), coder.length.take(symbol))
+        told = coder.told.take(path, mode="clip")
+        bit, cell, side = told & 1, (told >> (GROUP + 1)) * np.uint8(LEVELS**3), told >> 1 & (1 << GROUP) - 1
+        group = np.cumsum((side == 1).astype(np.int64))
+        group -= 1
+        dense, slots = [coder.bit_odds.take(path, mode="clip")], []
         for k in range(TABLES):
             met = tokens.before[k].take(which).take(token)
-            x = laid.state[k].take(at)
-            x += met if not k else met * own
+            if k:
+                met *= own
+            met += laid.inside[k].take(at)
+            x = met.take(there, mode="clip")
+            x += hashes
             x *= _MIX
             x ^= x >> np.uint64(29)
             x *= _MIX3
             x >>= self.shift
-            slot = (x.view(np.int64) << GROUP) + side
-            pair = self.pairs[k].take(slot)
-            zeros, ones = pair & self.low, pair >> self.half
-            s[1 + k] = self.odds(zeros, ones)
+            x <<= np.uint64(GROUP)
+            slot = x.view(np.int64).take(group, mode="clip")
+            slot += side
+            odds, level = self.read(k, slot)
+            dense.append(odds)
             slots.append(slot)
-            seen = np.maximum(zeros, ones)
-        cell = np.where(own, (place > 2).astype(np.int64) + (place > 7), 3)
-        stage = np.minimum(place, STAGES - 1)
-        record = []
+        cell += level
+        sparse, record, first = [], [], np.cumsum(size) - size
         for q in range(GUESSES):
-            bits = np.flatnonzero((tokens.guess[q].take(which) >= 0).take(token))
-            mine = token.take(bits)
-            g, level, here = tokens.guess[q].take(which).take(mine), tokens.level[q].take(which).take(mine), place.take(bits)
-            there = laid.start.take(g) + here
-            same = np.flatnonzero((here < laid.size.take(g)) & (laid.ident.take(there, mode="clip") == laid.ident.take(at.take(bits))))
-            bits, there, level = bits.take(same), there.take(same), level.take(same)
-            told, late = laid.bit.take(there), stage.take(bits)
-            sure = self.sure[q][level, late]
-            s[1 + TABLES + q][bits] = np.where(told == 1, sure, -sure)
-            on = np.zeros(len(at), np.int64)
-            on[bits] = level
-            cell = cell * LEVELS + on
-            record.append((level * STAGES + late, told == bit.take(bits)))
-        cell = cell * LEVELS + (seen > self.levels[0]) + (seen > self.levels[1])
-        return s, cell, bit, token, slots, record
-
-    def learn(self, bit: np.ndarray, slots: list[np.ndarray], record) -> None:
-        """Counts the bits, and where the guesses were right."""
-        for k, slot in enumerate(slots):
-            np.add.at(self.counts[k].reshape(-1), slot * 2 + bit, self.counts.dtype.type(1))
+            told = tokens.told[q].take(which)
+            some = np.flatnonzero(told)
+            told, mine = told.take(some), which.take(some)
+            bits, place = spans(first.take(some), told), spans(np.zeros(len(some), np.int64), told)
+            level = np.repeat(tokens.level[q].take(mine), told)
+            right = np.ones(len(bits), bool)
+            right[(np.cumsum(told) - 1)[~tokens.right[q].take(mine)]] = False
+            known = level * STAGES + np.minimum(place, STAGES - 1)
+            sure = self.sure[q].ravel().take(known)
+            sure *= (bit.take(bits, mode="clip") == right) * np.float32(2) - np.float32(1)
+            sparse.append((bits, sure))
+            cell[bits] += (level * LEVELS ** (GUESSES - q)).astype(np.uint8)
+            record.append((known, right))
+        return Inputs(size, dense, sparse, cell.astype(np.int64), bit, slots, record)
+
+    def learn(self, record) -> None:
+        """Counts where the guesses were right."""
         for q, (cell, right) in enumerate(record):
-            self.agree[q] += np.stack([np.bincount(cell[right], minlength=LEVELS * STAGES), np.bincount(cell[~right], minlength=LEVELS * STAGES)], 1).reshape(LEVELS, STAGES, 2)
+            both = np.bincount(cell * 2 + ~right, minlength=LEVELS * STAGES * 2)
+            self.agree[q] += both.reshape(LEVELS, STAGES, 2)
         self.sure = self._sure()
 
 
-def _mixed(s: np.ndarray, w: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each bit, and bit - P(one)."""
-    z = s[0] * w[0].take(cell)
-    for k in range(1, INPUTS):
-        z += s[k] * w[k].take(cell)
+def _mixed(x: Inputs, w: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 / P of each bit as it is, and bit - P(one)."""
+    z = x.dense[0] * w[0].take(cell, mode="clip")
+    for k in range(1, 1 + TABLES):
+        part = w[k].take(cell, mode="clip")
+        part *= x.dense[k]
+        z += part
+    for (bits, odds), own in zip(x.sparse, w[1 + TABLES :], strict=True):
+        z[bits] += odds * own.take(cell.take(bits, mode="clip"), mode="clip")
+    sign = x.bit * np.float32(2) - np.float32(1)
+    z *= sign
     np.clip(z, -30, 30, out=z)
-    e = np.exp(-np.abs(z))
-    p = np.where(z >= 0, 1, e) / (1 + e)
-    return np.minimum(np.where(bit == 1, z, -z), 0) - np.log1p(e), bit - p
+    np.negative(z, out=z)
+    e = np.exp(z, out=z)
+    inverse = e + np.float32(1)
+    e /= inverse
+    e *= sign
+    return inverse, e
+
+
+def _slopes(x: Inputs, cell: np.ndarray, err: np.ndarray, n: int):
+    """By input the sums of its products with err over the bits of each of n weight sets."""
+    for s in x.dense:
+        yield np.bincount(cell, err * s, n)
+    for bits, s in x.sparse:
+        yield np.bincount(cell.take(bits, mode="clip"), err.take(bits, mode="clip") * s, n)
 
 
 def start_weights() -> np.ndarray:
@@ -350,36 +421,52 @@ class Packed:
             flat[i] = np.frombuffer(zlib.decompress(strips.pop(i)), np.uint16)
         self.counts = flat.reshape(TABLES, 1 << self.bits, 2)
 
+    def odds(self) -> np.ndarray:
+        """table_odds() of the counts, in their place: a worker holds no second table."""
+        if self.counts.dtype == np.uint16:
+            self.counts = table_odds(self.counts, self.counts.view(np.float32)[..., 0])
+        return self.counts
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word and c of every token of the texts; the end mark is "\\n"."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = docs.select(F.explode(F.concat(F.split(text, r"[\x20\x09-\x0D]+", -1), F.array(F.lit("\n")))).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
 
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word and c of every token of the texts; the end mark is "\\n". Tasks count up to COUNTED words at a time, a shuffle adds them up."""
 
-class Numbers(dict):
-    """Numbers the words it is asked for, from 0."""
+    def counted(rows):
+        c = Counter()
+        for (text,) in rows:
+            c.update(lower_words(text.encode("utf-8", "surrogatepass")))
+            c[END] += 1
+            if len(c) > COUNTED:
+                yield from c.items()
+                c.clear()
+        yield from c.items()
 
-    def __missing__(self, word):
-        self[word] = at = len(self)
-        return at
+    words = map_rows(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), ["text"], "word binary, c bigint", counted, flush=1 << 14)
+    return words.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 def _batches(source):
     """The rows of some texts, each with its size in bytes and its words as numbers, BATCH_TOKENS or more at a time; and the distinct words."""
-    held, tokens, number = [], 0, Numbers()
+    held, texts, tokens = [], [], 0
+
+    def numbered():
+        number = dict.fromkeys(chain.from_iterable(texts))
+        words = list(number)
+        number = dict(zip(words, range(len(words)), strict=True))
+        return [(*row, np.fromiter(map(number.__getitem__, text), np.int64, len(text))) for row, text in zip(held, texts, strict=True)], words
+
     for *row, text in source:
         raw = text.encode("utf-8", "surrogatepass")
         words = lower_words(raw)
         words.append(END)
-        held.append((row, len(raw), np.array(list(map(number.__getitem__, words)))))
+        held.append((row, len(raw)))
+        texts.append(words)
         tokens += len(words)
         if tokens >= BATCH_TOKENS:
-            yield held, list(number)
-            held, tokens, number = [], 0, Numbers()
+            yield numbered()
+            held, texts, tokens = [], [], 0
     if held:
-        yield held, list(number)
+        yield numbered()
 
 
 def table_bits(tokens: int, max_bits: int = MAX_BITS) -> int:
@@ -392,43 +479,71 @@ def _strips(counts: np.ndarray):
         yield i, zlib.compress(flat[i].data, 1), 0.0, None, None
 
 
-def _count_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones.astype(np.float32) + np.float32(0.4)) / (zeros.astype(np.float32) + np.float32(0.4)))
-
-
-def _code_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _LOGS.take(ones) - _LOGS.take(zeros)
+def table_odds(counts: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The log odds of slots of coded counts; in the last table the two lowest bits of each tell whether a count is above 0.5 and above 3.5. Both arrays can share memory."""
+    few, some = coded(np.array([0.5, 3.5]))
+    for k in range(TABLES):
+        for low in range(0, counts.shape[1], STRIP):
+            zeros, ones = counts[k, low : low + STRIP, 0], counts[k, low : low + STRIP, 1]
+            odds = _LOGS.take(ones) - _LOGS.take(zeros)
+            if k == TABLES - 1:
+                most = np.maximum(zeros, ones)
+                odds[(odds == 0) & (most > 0)] = 1e-9  # no denormal number
+                raw = odds.view(np.uint32)
+                raw &= np.uint32(0xFFFFFFFC)
+                raw |= (most > few).astype(np.uint32) + (most > some)
+            out[k, low : low + STRIP] = odds
+    return out
 
 
 def learn_online(coder: Coder, bits: int, source):
     """Rows part, v (counts of a strip), seen, w, agree; the last one, of part -1, holds the bits seen, the weights and the guesses' record."""
-    model = Predictor(np.zeros((TABLES, 1 << bits, 2), np.uint32), _count_odds, (0, 3), np.zeros((GUESSES, LEVELS, STAGES, 2), np.int64))
+    counts = np.zeros((TABLES, 1 << bits, 2), np.uint32)
+    pairs, single = counts.view(np.uint64)[..., 0], counts.reshape(TABLES, -1)
+
+    def read(k, slot):
+        pair = pairs[k].take(slot, mode="clip").view(np.int32).astype(np.float32)
+        level = None
+        if k == TABLES - 1:
+            most = np.maximum(pair[::2], pair[1::2])
+            level = (most > 0).astype(np.uint8) + (most > 3)
+        pair += np.float32(0.4)
+        odds = pair[1::2] / pair[::2]
+        return np.log(odds, out=odds), level
+
+    model = Predictor(coder, bits, read, np.zeros((GUESSES, LEVELS, STAGES, 2), np.int64))
     w, moved, seen, held = start_weights(), np.full((INPUTS, SETS), 1e-3), 0, 0
     for texts, words in _batches(source):
         laid = coder.lay(words)
-        tokens = Tokens.of(laid, [ids for *_, ids in texts])
+        tokens = Tokens.of(coder, laid, [ids for *_, ids in texts])
         for low in range(0, len(tokens.ids), STEP_TOKENS):
-            s, cell, bit, _, slots, record = model.inputs(laid, tokens, np.arange(low, min(low + STEP_TOKENS, len(tokens.ids))))
-            _, err = _mixed(s, w, cell, bit)
-            for k in range(INPUTS):
-                g = np.bincount(cell, err * s[k], SETS)
+            x = model.inputs(laid, tokens, np.arange(low, min(low + STEP_TOKENS, len(tokens.ids))))
+            _, err = _mixed(x, w, x.cell)
+            for k, g in enumerate(_slopes(x, x.cell, err, SETS)):
                 moved[k] += g * g
                 w[k] += FIRST_RATE * g / np.sqrt(moved[k])
-            model.learn(bit, slots, record)
-            held += len(bit)
+            for flat, slot in zip(single, x.slots, strict=True):
+                slot <<= 1
+                slot += x.bit
+                np.add.at(flat, slot, np.uint32(1))
+            model.learn(x.record)
+            held += len(x.bit)
         if held >= FLUSH_BITS:
-            yield from _strips(model.counts)
-            model.counts[:] = 0
+            yield from _strips(counts)
+            counts[:] = 0
             seen, held = seen + held, 0
-    yield from _strips(model.counts)
+    yield from _strips(counts)
     yield -1, None, float(seen + held), w.ravel().astype(float).tolist(), model.agree.ravel().tolist()
 
 
 def shards(texts: DataFrame, n: int) -> DataFrame:
-    """shard and text: texts(text) of n tokens dealt by a hash into shards of about SHARD tokens, in the order of that hash: the same shards however the table is stored, whatever the cluster and its number of partitions. A task can hold several shards, or none."""
+    """shard and text: texts(text) of n tokens dealt by a hash into shards of about SHARD tokens, in the order of that hash: the same shards however the table is stored, whatever the cluster and its number of partitions. Each has a task of its own, if Spark makes as many as asked for."""
     number = max(1, -(-n // SHARD))
+    numbers = texts.sparkSession.range(1000 + 50 * number).groupBy(F.pmod(F.hash("id"), F.lit(number)).alias("task")).agg(F.min("id").alias("id"))
+    key = {r["task"]: r["id"] for r in numbers.collect()}  # a number that goes to each task
+    keys = F.array(*(F.lit(key.get(i, i)).cast("long") for i in range(number)))
     dealt = texts.select("text", F.xxhash64("text").alias("h")).withColumn("shard", F.pmod(F.hash("h"), F.lit(number)))
-    return dealt.repartition(number, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+    return dealt.withColumn("key", F.element_at(keys, F.col("shard") + 1)).repartition(number, "key").sortWithinPartitions("shard", "h", "text").select("shard", "text")
 
 
 def _learn(texts: DataFrame, n: int, coder, bits: int) -> tuple[Packed, np.ndarray, np.ndarray]:
@@ -463,20 +578,26 @@ class Scorer:
     """Scores batches of texts; the texts of a batch advance together, each with its own weights."""
 
     def __init__(self, coder: Coder, counts: np.ndarray, weights: np.ndarray, agree: np.ndarray):
-        levels = coded(np.array([0.5, 3.5]))
+        """counts: coded counts by table and slot, or Packed.odds()."""
         self.coder, self.weights = coder, weights
-        self.model = Predictor(counts, _code_odds, (int(levels[0]), int(levels[1])), agree)
+        odds = counts if counts.dtype == np.float32 else table_odds(counts, np.empty(counts.shape[:2], np.float32))
+
+        def read(k, slot):
+            found = odds[k].take(slot, mode="clip")
+            return found, (found.view(np.uint32) & np.uint32(3)).astype(np.uint8) if k == TABLES - 1 else None
+
+        self.model = Predictor(coder, odds.shape[1].bit_length() - 1, read, agree)
 
     def scores(self, texts: list[np.ndarray], words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """Per text the log probabilities of its words, given as word numbers; and of each word its leaf, or -1."""
         laid = self.coder.lay(words)
-        tokens = Tokens.of(laid, texts)
+        tokens = Tokens.of(self.coder, laid, texts)
         lengths = np.array([len(t) for t in texts])
         offset = np.cumsum(lengths) - lengths
         out = np.zeros(len(tokens.ids))
         order = np.argsort(-lengths, kind="stable")
-        for some in range(0, len(order), LANES):
-            lanes = order[some : some + LANES]
+        for top in range(0, len(order), LANES):
+            lanes = order[top : top + LANES]
             w = np.repeat(self.weights.astype(np.float32)[:, None, :], len(lanes), axis=1)
             low, block = 0, BLOCKS[0]
             while low < lengths[lanes[0]]:
@@ -484,16 +605,22 @@ class Scorer:
                 size = np.minimum(lengths[lanes[:live]] - low, block)
                 lane = np.repeat(np.arange(live), size)
                 which = np.repeat(offset[lanes[:live]] + low - (np.cumsum(size) - size), size) + np.arange(len(lane))
-                s, cell, bit, token, _, _ = self.model.inputs(laid, tokens, which)
-                cell += lane[token] * SETS
-                own = w[:, :live].reshape(INPUTS, -1)
-                p, err = _mixed(s, own, cell, bit)
-                out[which] = np.bincount(token, p, len(which))
+                own, sets = w[:, :live].reshape(INPUTS, -1), live * SETS
+                last = low + block >= lengths[lanes[0]]
+                slopes, met = np.zeros((INPUTS, sets)), np.zeros(sets, np.int64)
+                for some in range(0, len(which), STEP_TOKENS):
+                    part = which[some : some + STEP_TOKENS]
+                    x = self.model.inputs(laid, tokens, part)
+                    cell = x.cell + np.repeat(lane[some : some + STEP_TOKENS] * SETS, x.size)
+                    inverse, err = _mixed(x, own, cell)
+                    out[part] = -np.add.reduceat(np.log(inverse, dtype=np.float64), np.cumsum(x.size) - x.size)
+                    if not last:
+                        met += np.bincount(cell, minlength=sets)
+                        for k, g in enumerate(_slopes(x, cell, err, sets)):
+                            slopes[k] += g
                 low, block = low + block, min(2 * block, BLOCKS[1])
-                if low < lengths[lanes[0]]:
-                    step = RATE / np.sqrt(np.maximum(np.bincount(cell, minlength=own.shape[1]), 1))
-                    for k in range(INPUTS):
-                        w[k, :live] += (step * np.bincount(cell, err * s[k], own.shape[1])).reshape(live, SETS)
+                if not last:
+                    w[:, :live] += (RATE / np.sqrt(np.maximum(met, 1)) * slopes).reshape(INPUTS, live, SETS)
         return np.split(out, offset[1:]), laid.leaf
 
 
@@ -528,7 +655,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     coder, tables, weights, agree = fit(vocab, rows.where("NOT held_out").select("text"), n, max_bits)
 
     def run(source):
-        scorer = Scorer(coder.value, tables.value.counts, weights, agree)
+        scorer = Scorer(coder.value, tables.value.odds(), weights, agree)
         known = np.append(coder.value.counts, 0)
         for held, words in _batches(source):
             scores, leaf = scorer.scores([ids for *_, ids in held], words)

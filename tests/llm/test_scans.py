@@ -487,3 +487,27 @@ def test_batches_of_texts_are_bounded():
     texts = [(i, " ".join(f"w{i}x{k}" for k in range(3000))) for i in range(60)]
     sizes = [sum(len(ids) for *_, ids in held) for held, _ in lm._batches(iter(texts))]
     assert sum(sizes) == 60 * 3001 and max(sizes) <= (1 << 16) + 3001
+
+
+def test_each_shard_is_learned_from_in_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 400)
+    df = frame(spark, {i: words(i, 30 + i % 50, 90) for i in range(400)})
+    for n in (1, 4001, 12001):
+        rows = lm.shards(df, n).withColumn("at", F.spark_partition_id()).select("shard", "at").distinct().collect()
+        assert len(rows) == len({r["shard"] for r in rows}) == len({r["at"] for r in rows}) == -(-n // 400)
+
+
+def test_guesses_of_words_count_until_their_bits_part():
+    """Against bit strings, for words with and without a leaf."""
+    coder, *_ = fitted(["aa bb aa bb cc cc dd aa"])
+    names = [b"aa", b"bb", b"cc", b"dd", b"\n", b"abc", b"abd", b"ab", "é".encode(), b"xyzabc" * 9]
+    laid = coder.lay(names)
+
+    def path(w):
+        symbols = [coder.number[w]] if w in coder.number else [coder.escape, *(b + coder.escape + 1 for b in w + b" ")]
+        return [int(b) for x in symbols for b in coder.bits[coder.start[x] : coder.start[x] + coder.length[x]]]
+
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(names)), np.arange(len(names))))
+    a, b = a[a != b], b[a != b]
+    want = [next(i for i, (x, y) in enumerate(zip(path(names[i]), path(names[j]), strict=False)) if x != y) for i, j in zip(a, b, strict=True)]
+    assert coder.agreed(laid, a, b).tolist() == want and laid.size.tolist() == [len(path(w)) for w in names]
